@@ -24,14 +24,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
     labels = edges.select(F.explode(F.array("hi", "lo")).alias("vertex")).distinct().withColumn("component_id", F.col("vertex"))
     while not edges.isEmpty():
-        hook = cut(edges.groupBy("hi").agg(F.min("lo").alias("to")), "hooks")
+        hook = cut(edges.groupBy("hi").agg(F.min("lo").alias("low")), "hooks")
         for _ in range(JUMPS):
-            nxt = hook.select(F.col("hi").alias("mid"), F.col("to").alias("far"))
-            hook = hook.join(nxt, hook.to == nxt.mid, "left").select("hi", F.coalesce("far", "to").alias("to"))
+            nxt = hook.select(F.col("hi").alias("mid"), F.col("low").alias("far"))
+            hook = hook.join(nxt, hook.low == nxt.mid, "left").select("hi", F.coalesce("far", "low").alias("low"))
         hook = cut(hook, "hooks")
-        labels = cut(labels.join(hook, labels.component_id == hook.hi, "left").select("vertex", F.coalesce("to", "component_id").alias("component_id")), "labels")
-        one = hook.select(F.col("hi").alias("h1"), F.col("to").alias("t1"))
-        two = hook.select(F.col("hi").alias("h2"), F.col("to").alias("t2"))
+        labels = cut(labels.join(hook, labels.component_id == hook.hi, "left").select("vertex", F.coalesce("low", "component_id").alias("component_id")), "labels")
+        one = hook.select(F.col("hi").alias("h1"), F.col("low").alias("t1"))
+        two = hook.select(F.col("hi").alias("h2"), F.col("low").alias("t2"))
         moved = edges.join(one, edges.hi == one.h1, "left").join(two, edges.lo == two.h2, "left").select(F.coalesce("t1", "hi").alias("x"), F.coalesce("t2", "lo").alias("y"))
         edges = cut(moved.where("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "links")
     return labels
