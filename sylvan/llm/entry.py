@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm import bpe, langid, licenses, media, simhash, substring
-from sylvan.llm.shared import documents
+from sylvan.llm import bpe, covertree, langid, licenses, media, simhash, substring, warc
+from sylvan.llm.shared import documents, fresh_path
 
 #: Where the public tokenizer files are; a parameter of the BPE operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -33,10 +33,20 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), ["doc_id"])
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read(spark, path).drop("url")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -45,7 +55,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir), ["doc_id"]).drop("matches")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_substring, op4_media, op7_bpe, op9_simhash, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_substring, op4_media, op6_covertree, op7_bpe, op8_warc, op9_simhash, op10_licenses)}
 
 #: op2 as SQL: every 13-word window, its first document, and the words that later ones cover.
 ORACLES = {
@@ -59,4 +69,16 @@ k AS (SELECT doc_id, list(k) AS ks FROM c GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda x: NOT list_contains(ks, x)), lambda x: ws[x]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)""",
+    "op6_covertree": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c USING (vec_id)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first, sha1(h) AS s FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::BIGINT + 1, 1)), '') AS digest FROM f)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
 }
