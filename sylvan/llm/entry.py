@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm import bpe, covertree, langid, licenses, media, simhash, substring, warc
+from sylvan.llm import bpe, covertree, langid, licenses, lm, media, mixing, simhash, substring, warc
 from sylvan.llm.shared import documents, fresh_path
 
 #: Where the public tokenizer files are; a parameter of the BPE operator.
@@ -27,12 +27,20 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(documents(spark, sf_dir), ["doc_id"])
     read = media.inspect(stored, ["doc_id", "n_bytes"])
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(documents(spark, sf_dir))
+
+
 def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -55,7 +63,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir), ["doc_id"]).drop("matches")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_substring, op4_media, op6_covertree, op7_bpe, op8_warc, op9_simhash, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_substring, op3_mixing, op4_media, op5_lm, op6_covertree, op7_bpe, op8_warc, op9_simhash, op10_licenses)}
 
 #: op2 as SQL: every 13-word window, its first document, and the words that later ones cover.
 ORACLES = {

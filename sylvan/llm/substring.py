@@ -172,22 +172,33 @@ def at_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["own_doc", "own_start", "n", "digest"])
 
 
-def without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = tx.raw(batch.column(1))
-        n_words, n_removed, kept = [], [], []
-        for a, b, wanted in zip(at[:-1], at[1:], batch.column(2).to_pylist()):
-            words = data[a:b].tobytes().split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            for x in wanted or ():
-                if digest_of(words, x["start"], x["n"]) == x["digest"]:
-                    gone[x["start"]] += 1
-                    gone[x["start"] + x["n"] + K - 1] -= 1
-            left = np.cumsum(gone)[:-1] == 0
-            n_words.append(len(words))
-            n_removed.append(int(len(words) - left.sum()))
-            kept.append(b" ".join(words if left.all() else [words[i] for i in np.flatnonzero(left)]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+def without_repeats(layout: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = tx.raw(batch.column(1))
+            n_words, n_removed, kept = [], [], []
+            for a, b, wanted in zip(at[:-1], at[1:], batch.column(2).to_pylist()):
+                whole = data[a:b].tobytes()
+                words = whole.split()
+                gone = np.zeros(len(words) + 1, np.int64)
+                for x in wanted or ():
+                    if digest_of(words, x["start"], x["n"]) == x["digest"]:
+                        gone[x["start"]] += 1
+                        gone[x["start"] + x["n"] + K - 1] -= 1
+                left = np.cumsum(gone)[:-1] == 0
+                n_words.append(len(words))
+                n_removed.append(int(len(words) - left.sum()))
+                if not layout:
+                    kept.append(b" ".join(words if left.all() else [words[i] for i in np.flatnonzero(left)]).decode())
+                elif left.all():
+                    kept.append(whole.decode())
+                else:
+                    starts, _, _ = tx.spans(data[a:b], np.array([0, b - a]))
+                    edges = np.r_[starts, b - a]
+                    kept.append(b"".join([whole[edges[i] : edges[i + 1]] for i in np.flatnonzero(left)]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", *batch.schema.names[3:], "n_words", "n_removed", "kept_text"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -200,18 +211,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return glued.groupBy("doc", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("own_doc").alias("own_doc"), F.min("own_start").alias("own_start")).drop("path")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_words, n_removed, kept_text)``, one row per input row.
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, columns keep, n_words, n_removed, kept_text)``, one row per input row.
 
     A window of 13 consecutive words is repeated if it also starts in a document with a smaller doc_id; words that a repeated
     window covers go. Null and empty texts have no words. Rows that share a doc_id count as one document's readings, and each gets
     its own row; a null doc_id takes no part and keeps its words. Other columns are not read. An empty table gives an empty one.
+    kept_text has one blank between words, or with ``layout`` the blanks and lines of the text, which then stays as it is if nothing goes.
     """
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
     from sylvan.llm.shared import cut
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = cut(repeated_spans(rows.where("doc_id is not null")), "spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__{c}") for c in keep])
+    texts = rows.select("doc_id", "text")
+    spans = cut(repeated_spans(texts.where("doc_id is not null")), "spans")
     sources = spans.groupBy(F.col("own_doc").alias("src")).agg(F.collect_set(F.struct("own_start", "n")).alias("wanted"))
-    digests = rows.join(sources, rows.doc_id == sources.src).select("doc_id", "text", "wanted").mapInArrow(at_source, "own_doc long, own_start int, n int, digest binary")
-    checked = spans.join(digests, ["own_doc", "own_start", "n"]).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
-    return rows.join(checked, rows.doc_id == checked.doc, "left").select("doc_id", "text", "spans").mapInArrow(without_repeats, "doc_id long, n_words long, n_removed long, kept_text string")
+    digests = texts.join(sources, texts.doc_id == sources.src).select("doc_id", "text", "wanted").mapInArrow(at_source, "own_doc long, own_start int, n int, digest binary")
+    checked = spans.join(digests, ["own_doc", "own_start", "n"]).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "n", "digest")).alias("__spans"))
+    extra = [f"__{c}" for c in keep]
+    schema = StructType([StructField("doc_id", LongType()), *[rows.schema[c] for c in extra], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    out = rows.join(checked, rows.doc_id == checked["__doc"], "left").select("doc_id", "text", "__spans", *extra).mapInArrow(without_repeats(layout), schema)
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in keep], "n_words", "n_removed", "kept_text")
