@@ -19,7 +19,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ID = "urn:sylvan:page:"
-#: Records in a file at most, and rows of odd segments up to which they are broadcast (about 100 bytes a row).
+#: Records in a file at most, and rows of repeated payloads or odd segments up to which they are broadcast (about 100 bytes a row).
 PER_FILE, FEW = 20_000, 20_000
 
 
@@ -41,10 +41,9 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("about:blank")).alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("same"), F.octet_length(body).cast("long").alias("size"))
-    firsts = rows.groupBy("same").agg(F.max("page_id").alias("first"))
-    rows = rows.select("page_id", "url", "html", "size", F.when(F.col("size") >= least, F.col("same")).otherwise(F.concat("same", F.col("page_id").cast("string"))).alias("same"), F.col("same").alias("of"))
-    firsts = firsts.withColumnRenamed("same", "f_same")
-    joined = rows.join(firsts, rows.of == firsts.f_same, "left")
+    # Only payloads that stand more than once matter here; while they are few they go to the pages, not the pages to them.
+    firsts = cut(rows.groupBy(F.col("same").alias("f_same")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    joined = rows.join(F.broadcast(firsts) if firsts.count() <= FEW else firsts, F.col("same") == F.col("f_same"), "left")
     revisit = (F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     url = F.col("url")
     for code in (0x00, 0x09, 0x0A, 0x0D, 0x20):
