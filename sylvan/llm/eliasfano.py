@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U1 = np.uint64(1)
+#: Place of the k-th one in a byte.
+IN_BYTE = np.array([([k for k in range(8) if v >> k & 1] + [0] * 8)[:8] for v in range(256)], np.int64)
 
 
 def or_words(at: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
@@ -53,13 +55,13 @@ class EliasFano:
         bits = self.high[word]
         bits = ~bits if flip else bits
         place = word * 64
-        for half in (32, 16, 8, 4, 2, 1):
+        for half in (32, 16, 8):
             n = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
             up = left >= n
             left = np.where(up, left - n, left)
             place = np.where(up, place + half, place)
             bits = np.where(up, bits >> np.uint64(half), bits)
-        return place
+        return place + IN_BYTE[(bits & np.uint64(255)).astype(np.int64), np.minimum(left, 7)]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -80,15 +82,23 @@ class EliasFano:
             return np.full(len(value), -1)
         value = value.astype(np.uint64)
         high, low = (value >> np.uint64(self.width)).astype(np.int64), value & np.uint64((1 << self.width) - 1)
-        ok = high < self.zeros[-1]
-        high = np.where(ok, high, 0)
-        begin = np.where(high > 0, self.select(np.maximum(high - 1, 0), self.zeros, True) + 1 - high, 0)
+        out = np.full(len(value), -1)
+        at = np.flatnonzero(high < self.zeros[-1])
+        begin = np.zeros(len(at), np.int64)
+        later = high[at] > 0
+        begin[later] = self.select(high[at[later]] - 1, self.zeros, True) + 1
+        some = self.high[begin >> 6] >> (begin & 63).astype(np.uint64) & U1 > 0  # else nothing has these high bits
+        at, begin = at[some], begin[some] - high[at[some]]
+        high, low = high[at], low[at]
         stop = self.select(high, self.zeros, True) - high
-        lo, hi = begin.copy(), np.where(ok, stop, begin)
+        lo, hi = begin, stop.copy()
         while (live := np.flatnonzero(lo < hi)).size:
             mid = (lo[live] + hi[live]) >> 1
             less = self.lows(mid) < low[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
-        found = np.minimum(lo, self.n - 1)
-        return np.where(ok & (lo < stop) & (self.lows(found) == low), found, -1)
+        hit = lo < stop
+        at, lo, low = at[hit], lo[hit], low[hit]
+        same = self.lows(lo) == low
+        out[at[same]] = lo[same]
+        return out

@@ -30,13 +30,15 @@ ORDER, LEAST, DISCOUNT = 3, 2, 0.75
 #: The token at a text's end, also the context at its start; a hash no word is likely to have.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 #: Distinct n-grams that a task sums up before it passes them on, and n-grams in a shard, about.
-HELD, SHARD = 2_000_000, 8_000_000
+HELD, SHARD = 1_500_000, 8_000_000
+#: Bytes of text worked on at once.
+TEXTS = 3 << 20
 _models: dict[str, Model] = {}
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each slice of rows: first row, end row, token hashes with an END before the first and after every text, and the place of each text's END before it (one entry more)."""
-    for a, b, data, starts, ends, row in tx.words_of(column, lower=True):
+    for a, b, data, starts, ends, row in tx.words_of(column, True, TEXTS):
         h = tx.hashes(data, starts, ends)
         at = row + np.arange(len(row))
         out = np.full(len(h) + len(row), END)
@@ -156,22 +158,33 @@ class Level:
         self.first = np.r_[0, np.cumsum([q.n for q in self.seq])].astype(np.int64)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For (context place, successor), -1 for none: place on this level, rank among the context's successors, discounted probability, weight of what is below."""
-        place, rank, prob, rest = np.full(len(context), -1), np.full(len(context), -1), np.zeros(len(context)), np.ones(len(context))
+        """For (context place, successor), -1 for none: place on this level, rank among the context's successors, discounted probability, weight of what is below.
+
+        Each distinct pair is searched once, in order, so that neighbouring searches touch neighbouring memory.
+        """
+        n = len(context)
+        place, rank, prob, rest = np.full(n, -1), np.full(n, -1), np.zeros(n), np.ones(n)
+        asked = np.flatnonzero(context >= 0)
+        if not len(asked) or not len(self.low):
+            return place, rank, prob, rest
+        key, back = np.unique(context[asked] * (self.span + 1) + word[asked] + 1, return_inverse=True)
+        context, word = key // (self.span + 1), key % (self.span + 1) - 1
+        found = [np.full(len(key), -1), np.full(len(key), -1), np.zeros(len(key)), np.ones(len(key))]
         shard = np.searchsorted(self.low, context, "right") - 1
-        for s in np.unique(shard[context >= 0]).tolist():
-            own = np.flatnonzero((shard == s) & (context >= 0) & (context < self.high[s])) if s >= 0 else np.zeros(0, int)
-            if not len(own):
-                continue
+        for s in np.unique(shard[shard >= 0]).tolist():
+            own = np.flatnonzero((shard == s) & (context < self.high[s]))
             c = context[own] - self.low[s]
-            rest[own] = self.rest_book[s][self.rest[s][c]]
-            own, c = own[word[own] >= 0], c[word[own] >= 0]
+            found[3][own] = self.rest_book[s][self.rest[s][c]]
+            known = word[own] >= 0
+            own, c = own[known], c[known]
             at = self.seq[s].find(c * self.span + word[own])
             hit = at >= 0
             own, c, at = own[hit], c[hit], at[hit]
-            place[own] = at + self.first[s]
-            rank[own] = at - self.pointers[s].get(c)
-            prob[own] = self.prob_book[s][self.prob[s][at]]
+            found[0][own] = at + self.first[s]
+            found[1][own] = at - self.pointers[s].get(c)
+            found[2][own] = self.prob_book[s][self.prob[s][at]]
+        for whole, part in zip((place, rank, prob, rest), found):
+            whole[asked] = part[back]
         return place, rank, prob, rest
 
 

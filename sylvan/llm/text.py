@@ -102,10 +102,10 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         power = power * power
 
 
-def words_of(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def words_of(column: pa.Array, lower: bool, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice of rows: first row, end row, bytes, word starts, word ends, first word of each row."""
     data, at = raw(column)
-    for a, b in slices(data, at):
+    for a, b in slices(data, at, most):
         part = data[at[a] : at[b]]
         part = LOWER[part] if lower else part
         yield a, b, part, *spans(part, at[a : b + 1] - at[a])
