@@ -5,8 +5,8 @@ A classifier fitted on a bounded sample of the labels table predicts for every d
 
     min_r  1/2 sum_k ((sum_d r_d n_d p_dk - t_k) / T)^2 + ridge/2 sum_d n_d/T (r_d - 1)^2
 
-n_d: tokens, p_dk: posteriors, t_k: target tokens. A step needs the domains' totals under the rates so far, one aggregate with one row; the rates
-themselves are a fold over the residuals so far, so no state is kept and a lost executor costs one scan of a small table.
+n_d: tokens, p_dk: posteriors, t_k: target tokens. A step needs the domains' totals under the rates so far, one aggregate with one row, and then moves
+every rate by a projection; every ``CHAINED`` steps the rates are written, so a lost executor costs few steps over a small table.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ TARGET = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 #: Labelled documents to fit on at most, marker words a domain, documents that a marker stands in at least.
 SAMPLE, MARKERS, SUPPORT = 20_000, 64, 5
 RIDGE, STEPS, CLOSE = 1e-3, 40, 1e-4
+#: Steps after which the rates so far are written, so that a plan never holds more of them.
+CHAINED = 8
 SPACES = r"[\x20\x09-\x0D]+"
 FEATURES = ("log_words", "distinct", "letters", "word_length", "lines")
 
@@ -46,7 +48,7 @@ def markers(docs: DataFrame, known: DataFrame) -> dict[str, list[str]]:
     text = docs.join(F.broadcast(known), docs.doc_id == known.l_id).select("domain", F.array_distinct(words()).alias("ws"))
     size = {r[0]: r[1] for r in text.groupBy("domain").count().collect()}
     total = sum(size.values())
-    seen = text.select("domain", F.explode("ws").alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS], F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    seen = cut(text.select("domain", F.explode("ws").alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS], F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "markers")
     out = {}
     for d in DOMAINS[1:]:
         own, other = size.get(d, 0), total - size.get(d, 0)
@@ -100,38 +102,30 @@ def posteriors(table: DataFrame, known: DataFrame) -> list[Column]:
     return [x / sum(parts[1:], parts[0]) for x in parts]
 
 
-def rate(steps: list[tuple[list[float], float]], step: float) -> tuple[Column, Column]:
-    """The rate and the point ahead of it after these residuals: a fold over them."""
-    if not steps:
-        return F.lit(1.0), F.lit(1.0)
-    given = F.array(*[F.struct(*[F.lit(float(x)).alias(f"e{k}") for k, x in enumerate(e)], F.lit(b).alias("b")) for e, b in steps])
+def moved(state: DataFrame, residual: list[float], momentum: float, step: float) -> DataFrame:
+    """The state after one more step: projected rate ``r``, and ``y``, the point ahead of it. Projections that follow one another stay in one stage's code."""
+    pull = sum((F.col(f"p_{d}") * e for d, e in zip(DOMAINS, residual)), F.lit(0.0))
+    at = state.withColumn("new", F.greatest(F.lit(0.0), F.col("y") - step * (pull + RIDGE * (F.col("y") - 1))))
+    return at.withColumn("y", F.col("new") + momentum * (F.col("new") - F.col("r"))).drop("r").withColumnRenamed("new", "r")
 
-    def move(acc: Column, s: Column) -> Column:
-        pull = sum((F.col(f"p_{d}") * s[f"e{k}"] for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        new = F.greatest(F.lit(0.0), acc["y"] - step * (pull + RIDGE * (acc["y"] - 1)))
-        return F.struct(new.alias("r"), (new + s["b"] * (new - acc["r"])).alias("y"))
 
-    folded = F.aggregate(given, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), move)
-    return folded["r"], folded["y"]
-
-
-def fit_rates(table: DataFrame, target: dict[str, float]) -> Column:
-    """Rates for ``table(n_tokens, p_clean, p_low, p_toxic)`` whose expected token totals come as near to the target shares of all tokens as the ridge lets them."""
+def fit_rates(table: DataFrame, target: dict[str, float]) -> DataFrame:
+    """Adds to ``table(n_tokens, p_clean, p_low, p_toxic, ...)`` the ``rate`` by which the expected token totals come as near to the target shares of all tokens as the ridge lets them."""
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
-        return F.lit(1.0)
-    step, steps, momentum = 1 / (1 + RIDGE), [], 1.0
-    for _ in range(STEPS):
-        _, ahead = rate(steps, step)
-        rows = table.select(*[(ahead * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS])
-        mass = rows.agg(*[F.sum(d).alias(d) for d in DOMAINS]).first()
+        return table.withColumn("rate", F.lit(1.0))
+    state, step, momentum = table.withColumn("r", F.lit(1.0)).withColumn("y", F.lit(1.0)), 1 / (1 + RIDGE), 1.0
+    for k in range(1, STEPS + 1):
+        mass = state.agg(*[F.sum(F.col("y") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
         residual = [mass[d] / total - target[d] for d in DOMAINS]
         nxt = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        steps.append((residual, (momentum - 1) / nxt))
+        state = moved(state, residual, (momentum - 1) / nxt, step)
         momentum = nxt
         if max(map(abs, residual)) < CLOSE:
             break
-    return rate(steps, step)[0]
+        if k % CHAINED == 0:
+            state = cut(state, "rates")
+    return state.withColumnRenamed("r", "rate").drop("y")
 
 
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET) -> DataFrame:
@@ -145,7 +139,7 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET) -
     table = cut(features(docs, markers(docs, known)), "features")
     p = [F.round(x, 9).alias(f"p_{d}") for x, d in zip(posteriors(table, known), DOMAINS)]
     table = cut(table.select("doc_id", "n_tokens", *p), "posteriors")
-    return table.withColumn("rate", F.round(fit_rates(table, target), 6))
+    return fit_rates(table, target).withColumn("rate", F.round("rate", 6))
 
 
 def dealt(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET) -> DataFrame:
