@@ -45,7 +45,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix_sources", mix_sources), ("tokenize", tokenize)]
-#: SimHash, the fitted model and BPE have no SQL twin; tests hold the pipeline against a brute-force version.
+#: SimHash, the fitted model and BPE have no SQL twin; no test holds the whole pipeline against a brute-force version yet.
 ORACLE_SQL = None
 
 
