@@ -4,6 +4,8 @@ import base64
 import hashlib
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,6 +183,13 @@ def test_lm(docs, empty):
     assert len(rows) == len(texts()) and all(math.isfinite(r.score) and r.score <= 0 for r in rows)
     assert all(r.n_tokens == len((texts()[r.doc_id] or "").encode().split()) + 1 for r in rows)
     assert lm.train_and_score(empty).count() == 0
+    words = [[*"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split(), None] for t in texts()]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(words))]
+    c = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    for r in rows:
+        want = sum(math.log10((c[w] + 1) / (c.total() + 1 * (len(c) + 1))) for w in words[r.doc_id])
+        assert (r.held_out, r.train_tokens, r.n_known) == (held[r.doc_id], c.total(), sum(c[w] > 0 for w in words[r.doc_id]))
+        assert math.isclose(r.base_score, want, rel_tol=1e-9)
 
 
 def test_langid(docs, empty):
