@@ -157,6 +157,22 @@ def dual(a: tuple, b: tuple, cos: float, same: bool) -> tuple[np.ndarray, np.nda
     return na, nb, found[0], found[1]
 
 
+def screened(i, j, up_a, up_b, ca, cb, ra, rb, far):
+    """Children of the pairs i, j, without those that the covering radii rule out in single precision, its rounding allowed for: one matrix product and no list of all pairs."""
+    rounding = np.float32((ca.shape[1] + 8) * 1.2e-7)
+    dot = ca.astype(np.float32) @ cb.astype(np.float32).T
+    least = np.float32(far + SLACK) + ra.astype(np.float32)[:, None] + rb.astype(np.float32)
+    np.square(least, out=least)
+    least *= np.float32(-0.5)
+    least += np.float32(1) - 4 * rounding
+    near = dot >= least
+    open_ = np.zeros((up_a[-1] + 1, up_b[-1] + 1), bool)
+    open_[i, j] = True
+    if not open_.all():
+        near &= open_[up_a][:, up_b]
+    return np.nonzero(near)
+
+
 def children(i, j, up_a, up_b):
     """Pairs of the nodes' children; None: that side stays at its last level."""
     for side, up in ((0, up_a), (1, up_b)):
@@ -182,25 +198,29 @@ def dots(xa, xb, ca, cb, i, j):
     return out
 
 
-def traverse(pairs: DataFrame, cos: float) -> DataFrame:
-    """``(tree_a, tree_b)`` -> ``(rep, n, root)``: links to add, and the smallest point of a forest of the links that were found."""
+def traverse(rows: DataFrame, keys: list[str], cos: float) -> DataFrame:
+    """Groups of one block (role 0) and its partners (role 1; 2 for itself, without a tree) -> ``(rep, n, root)``: links to add, and the smallest point of a forest of the links that were found. A task holds one group at a time."""
 
-    def run(batches):
-        for batch in batches:
-            for blob_a, blob_b in zip(batch.column(0), batch.column(1)):
-                a = pickle.loads(blob_a.as_py())
-                same = not blob_b.is_valid
-                b = a if same else pickle.loads(blob_b.as_py())
-                na, nb, p, q = dual(a, b, cos, same)
-                if same:
-                    rep, n = a[0], na + nb
-                else:
-                    rep, n, q = np.concatenate([a[0], b[0]]), np.concatenate([na, nb]), q + len(na)
-                root = rep[forest(p, q, len(rep))] if len(p) else rep
-                out = (n > 0) | (root != rep)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(n[out]), pa.array(root[out])], ["rep", "n", "root"])
-
-    return pairs.mapInArrow(run, "rep long, n long, root long")
+    def run(table: pa.Table) -> pa.Table:
+        role, blobs = table.column("role").to_pylist(), table.column("tree")
+        a, out = pickle.loads(blobs[role.index(0)].as_py()), []
+        for k, r in enumerate(role):
+            if not r:
+                continue
+            same = r == 2
+            b = a if same else pickle.loads(blobs[k].as_py())
+            na, nb, p, q = dual(a, b, cos, same)
+            if same:
+                rep, n = a[0], na + nb
+            else:
+                rep, n, q = np.concatenate([a[0], b[0]]), np.concatenate([na, nb]), q + len(na)
+            root = rep[forest(p, q, len(rep))] if len(p) else rep
+            changed = (n > 0) | (root != rep)
+            out.append(np.stack([rep[changed], n[changed], root[changed]]))
+        rep, n, root = np.concatenate(out, 1)
+        return pa.table({"rep": rep, "n": n, "root": root})
+
+    return rows.groupBy(*keys).applyInArrow(run, "rep long, n long, root long")
 
 
 def near_vectors(vectors: DataFrame, cos: float = 0.95) -> DataFrame:
