@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sylvan.llm.components import components
 from sylvan.llm.shared import cut
 from sylvan.llm.simhash import forest
 
 BLOCK, PIVOTS = 2048, 1024
+#: Blocks that a block is sent to be compared with at a time.
+PARTNERS = 8
 RADII = [2.0 / 2**k for k in range(8)]
 #: Bounds are widened by so much, far above what rounding moves a distance.
 SLACK = 1e-6
@@ -121,12 +124,16 @@ def dual(a: tuple, b: tuple, cos: float, same: bool) -> tuple[np.ndarray, np.nda
     depth = max(len(la), len(lb))
     for level in range(depth):
         ka, kb = min(level, len(la) - 1), min(level, len(lb) - 1)
+        ca, cb = la[ka][:-1], lb[kb][:-1]
         if level:
-            i, j = children(i, j, pa_[ka] if ka == level else None, pb_[kb] if kb == level else None)
+            up_a, up_b = pa_[ka] if ka == level else np.arange(len(ca)), pb_[kb] if kb == level else np.arange(len(cb))
+            if (np.bincount(up_a)[i] * np.bincount(up_b)[j]).sum() * 8 > len(ca) * len(cb):
+                i, j = screened(i, j, up_a, up_b, xa[ca], xb[cb], ra[ka], rb[kb], far)
+            else:
+                i, j = children(i, j, up_a if ka == level else None, up_b if kb == level else None)
             if same:
                 keep = i <= j
                 i, j = i[keep], j[keep]
-        ca, cb = la[ka][:-1], lb[kb][:-1]
         last = level == depth - 1
         if not len(i):
             break
@@ -257,11 +264,17 @@ def near_vectors(vectors: DataFrame, cos: float = 0.95) -> DataFrame:
     keyed = trees.select("size", F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"))
     other = trees.select("size", F.col("cell").alias("cell_b"), F.col("sub").alias("sub_b"))
     pairs = keyed.join(wanted, ["size", "cell_a"]).join(other, ["size", "cell_b"]).where("cell_a < cell_b or sub_a <= sub_b")
-    tree_a = trees.select("size", F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), F.col("tree").alias("tree_a"))
-    tree_b = trees.select("size", F.col("cell").alias("cell_b"), F.col("sub").alias("sub_b"), F.col("tree").alias("tree_b"))
-    loaded = pairs.join(tree_a, ["size", "cell_a", "sub_a"]).join(tree_b, ["size", "cell_b", "sub_b"])
+    keys = ["size", "cell_a", "sub_a", "part"]
+    pairs = pairs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(*keys[:3]).orderBy("cell_b", "sub_b")) - 1) / PARTNERS))
+    pairs = cut(pairs, "tree-pairs")
     own = (F.col("cell_a") == F.col("cell_b")) & (F.col("sub_a") == F.col("sub_b"))
-    found = cut(traverse(loaded.select("tree_a", F.when(~own, F.col("tree_b")).alias("tree_b")), cos), "found")
+    tree_a = trees.select("size", F.col("cell").alias("cell_a"), F.col("sub").alias("sub_a"), "tree")
+    tree_b = trees.select("size", F.col("cell").alias("cell_b"), F.col("sub").alias("sub_b"), "tree")
+    role = lambda k: F.lit(k).alias("role")
+    rows = pairs.select(*keys).distinct().join(tree_a, keys[:3]).select(*keys, role(0), "tree")
+    rows = rows.unionByName(pairs.where(~own).join(tree_b, ["size", "cell_b", "sub_b"]).select(*keys, role(1), "tree"))
+    rows = rows.unionByName(pairs.where(own).select(*keys, role(2), F.lit(None).cast("binary").alias("tree")))
+    found = cut(traverse(rows, keys, cos), "found")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("vertex", "rep")
     known_points = points.join(counts, "rep", "left").join(comp, "rep", "left").select("x", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component_id", "rep").alias("component_id"))
