@@ -7,7 +7,7 @@ weights are quantised to one byte. Each level is written by Spark tasks as shard
 the workers that score.
 
 Smoothing: absolute discounting, interpolated: P(w|h) = max(c(hw) - D, 0)/c(h) + L(h) P(w|h'), down to P(w) = (c+1)/(N+V+1).
-Level k >= 2 keeps n-grams seen at least ``LEAST`` times whose parts are kept too; what is not kept goes to L(h).
+Level k >= 2 keeps every n-gram that training saw, those that end a text too; ``train(least=)`` leaves out rarer ones, whose mass goes to L(h).
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from sylvan.llm import text as tx
 from sylvan.llm.eliasfano import EliasFano
 from sylvan.llm.shared import crc_mod, cut, fresh_path
 
-ORDER, LEAST, DISCOUNT = 3, 2, 0.75
+ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 #: The token at a text's end, also the context at its start; a hash no word is likely to have.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 #: Distinct n-grams that a task sums up before it passes them on, and n-grams in a shard, about.
-HELD, SHARD = 1_500_000, 8_000_000
+HELD, SHARD = 1_500_000, 2_000_000
 #: Bytes of text worked on at once.
 TEXTS = 3 << 20
 _models: dict[str, Model] = {}
@@ -48,6 +48,13 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield a, b, out, at
 
 
+def ages(at: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens each token has before it in its text, the opening END among them. An END between two texts counts as the end of the first."""
+    begins = np.zeros(n, np.int64)
+    begins[at[:-1]] = at[:-1]
+    return np.arange(n) - np.r_[0, np.maximum.accumulate(begins)[:-1]] if n else begins
+
+
 class Sums:
     """Counts by key, summed in a task and passed on when there are many."""
 
@@ -194,9 +201,8 @@ class Model:
         self.vocabulary = Vocabulary([get(f"{path}/1/{n}") for n in facts["shards"][0]])
         self.levels = [Level(span, [get(f"{path}/{k}/{n}") for n in names]) for k, (span, names) in enumerate(zip(facts["spans"], facts["shards"][1:]), 2)]
 
-    def places(self, ids: np.ndarray, begins: np.ndarray, upto: int) -> tuple[list, list]:
-        """For tokens with these ids, level by level: what find() gives for the n-gram that ends at each token. A text's tokens follow its opening END, which ``begins`` marks."""
-        age = np.arange(len(ids)) - np.maximum.accumulate(np.where(begins, np.arange(len(ids)), 0))
+    def places(self, ids: np.ndarray, age: np.ndarray, upto: int) -> list[tuple]:
+        """For tokens with these ids and ages(), level by level: what find() gives for the n-gram that ends at each token."""
         place, rank, found = ids, ids, []
         for k, level in enumerate(self.levels[:upto], 2):
             context = np.r_[-1, place[:-1]]
@@ -209,12 +215,10 @@ class Model:
     def score(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score and the model's score."""
         n, v = self.facts["tokens"], self.facts["types"]
-        begins = np.zeros(len(h), bool)
-        begins[at[:-1]] = True
         ids, counts = self.vocabulary.find(h)
         base = (counts + 1) / (n + v + 1)
         p = base
-        for _, _, prob, rest in self.places(ids, begins, len(self.levels)):
+        for _, _, prob, rest in self.places(ids, ages(at, len(h)), len(self.levels)):
             p = prob + rest * p
         per = lambda x: np.diff(np.r_[0, np.cumsum(x)][at + 1])  # noqa: E731  tokens after a text's opening END, up to its own END
         return np.diff(at), per(counts > 0), exact(np.log10(base), at), exact(np.log10(np.minimum(p, 1)), at)
@@ -252,14 +256,12 @@ def grams_of(path: str, facts: dict, k: int, least: int, span: int):
 
     def keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
         model = loaded(path, facts)
-        begins = np.zeros(len(h), bool)
-        begins[at[:-1]] = True
+        age = ages(at, len(h))
         ids, counts = model.vocabulary.find(h)
         ids[counts < least] = -1
         place = rank = ids
-        for place, rank, _, _ in model.places(ids, begins, k - 2):
+        for place, rank, _, _ in model.places(ids, age, k - 2):
             pass
-        age = np.arange(len(ids)) - np.maximum.accumulate(np.where(begins, np.arange(len(ids)), 0))
         context = np.r_[-1, place[:-1]]
         ok = (age >= k - 1) & (context >= 0) & (rank >= 0)
         return context[ok] * span + rank[ok]

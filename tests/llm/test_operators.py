@@ -192,6 +192,30 @@ def test_lm(docs, empty):
         assert math.isclose(r.base_score, want, rel_tol=1e-9)
 
 
+def test_lm_keeps_every_ngram(spark):
+    rng = random.Random(4)
+    words = [[*(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))), None] for _ in range(24)]
+    rows = [(i, " ".join(w[:-1])) for i, w in enumerate(words)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(words))]
+    c = [Counter(tuple(([None] + w)[j - k + 1 : j + 1]) for w, h in zip(words, held) if not h for j in range(max(1, k - 1), len(w) + 1)) for k in (1, 2, 3)]
+    assert any(n == 1 for n in c[1].values()) and any(n == 1 for n in c[2].values()) and max(map(len, c)) <= 256
+
+    def p(gram):
+        if len(gram) == 1:
+            return (c[0][gram] + 1) / (c[0].total() + len(c[0]) + 1)
+        known = [n for g, n in c[len(gram) - 1].items() if g[:-1] == gram[:-1]]
+        below = p(gram[1:])
+        if not known:
+            return below
+        whole = c[len(gram) - 2][gram[:-1]]
+        return max(c[len(gram) - 1][gram] - lm.DISCOUNT, 0) / whole + (1 - sum(n - lm.DISCOUNT for n in known) / whole) * below
+
+    got = {r.doc_id: r.score for r in lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, w in enumerate(words):
+        seen = [None] + w
+        assert math.isclose(got[i], sum(math.log10(p(tuple(seen[max(0, j - 2) : j + 1]))) for j in range(1, len(seen))), rel_tol=1e-6, abs_tol=1e-6)
+
+
 def test_langid(docs, empty):
     got = {r.doc_id: r for r in langid.identify(docs).collect()}
     assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == len(texts())
