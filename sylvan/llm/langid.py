@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from sylvan.llm import text as tx
 from sylvan.llm.shared import crc_mod
 
-DIM, BLOCK = 512, 64
+DIM, BLOCK = 8192, 256
+#: Texts bundled at once, and trigrams bound at once: memory is these times DIM.
+ROWS, BOUND = 512, 2048
 #: Unit vectors are added as integers of this scale, so that sums do not depend on their order.
 SCALE = 1 << 24
 UNKNOWN = "und"
@@ -36,8 +38,8 @@ def letter(code: int) -> np.ndarray:
     return (np.unpackbits(x.view(np.uint8)).astype(np.int8) * 2 - 1)[:DIM]
 
 
-def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """One bundle per text, and whether the text has a letter. Words are parted by one blank, which is a letter here."""
+def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One bundle per text, whether the text has a letter, and its number of distinct trigrams. Words are parted by one blank, which is a letter here."""
     codes = [np.frombuffer((" " + (t or "").lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     size = np.array([len(c) for c in codes])
     code = np.concatenate(codes)
@@ -48,9 +50,9 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= is_letter[:-1] | (doc[1:] != doc[:-1])
     keep[0] = True
     code, doc = np.where(is_letter, code, 32)[keep], doc[keep]
-    out = np.zeros((len(texts), DIM), np.float32)
+    out, distinct = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), np.int64)
     if len(code) < 3:
-        return out, has
+        return out, has, distinct
     known = np.zeros(0x110000, bool)
     known[code] = True
     letters = np.flatnonzero(known)
@@ -77,13 +79,14 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             g = where[g]
         else:
             ids, g = np.unique(g, return_inverse=True)
-        for i in range(0, len(ids), 16384):  # so many trigrams at a time, whatever the alphabet
-            part = ids[i : i + 16384]
+        for i in range(0, len(ids), BOUND):  # so many trigrams at a time, whatever the alphabet
+            part = ids[i : i + BOUND]
             bound = first[part // (k * k)] * second[part // k % k] * vectors[part % k]
-            own = (g >= i) & (g < i + len(part)) if len(ids) > 16384 else slice(None)
+            own = (g >= i) & (g < i + len(part)) if len(ids) > BOUND else slice(None)
             counts = np.bincount(d[own] * len(part) + g[own] - i, minlength=(b - a) * len(part)).reshape(b - a, -1)
             out[a:b] += counts.astype(np.float32) @ bound.astype(np.float32)
-    return out, has
+            distinct[a:b] += np.count_nonzero(counts, axis=1)
+    return out, has, distinct
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -93,8 +96,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str | None]]]:
     data, at = tx.raw(batch.column(column))
-    for a, b in tx.slices(data, at, 1 << 20):
-        yield a, b, batch.column(column).slice(a, b - a).to_pylist()
+    for first, end in tx.slices(data, at, 1 << 20):
+        for a in range(first, end, ROWS):
+            b = min(a + ROWS, end)
+            yield a, b, batch.column(column).slice(a, b - a).to_pylist()
 
 
 def train(labelled: DataFrame) -> dict[str, np.ndarray]:
@@ -105,7 +110,7 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             lang = np.array(batch.column(1).to_pylist(), object)
             for a, b, texts in blocks(batch, 0):
-                x, has = bundles(texts)
+                x, has, _ = bundles(texts)
                 v = np.rint(unit(x) * SCALE).astype(np.int64)
                 for name in set(lang[a:b].tolist()):
                     total[name] = total.get(name, 0) + v[(lang[a:b] == name) & has].sum(0)
@@ -120,7 +125,7 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs with ``lang_pred`` and ``score``, the cosine cut to 0..1.
+    """Columns ``keep`` of docs with ``lang_pred``, ``score``, the cosine cut to 0..1, and ``n_grams``, the text's distinct trigrams.
 
     ``und`` with score 0 where text is null, has no letter, or there is no prototype. Equal cosines: the first language by name.
     """
@@ -129,9 +134,10 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> D
 
     def run(batches):
         for batch in batches:
-            pred, score = [], []
+            pred, score, n_grams = [], [], []
             for _, _, texts in blocks(batch, 0):
-                x, has = bundles(texts)
+                x, has, distinct = bundles(texts)
+                n_grams += distinct.tolist()
                 if names:
                     cos = np.round(unit(x) @ prototypes.T, 9)
                     best = cos.argmax(1)
@@ -140,11 +146,11 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> D
                 else:
                     pred += [UNKNOWN] * len(texts)
                     score += [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n_grams, pa.int64())], names=[*batch.schema.names[1:], "lang_pred", "score", "n_grams"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_grams", LongType())]))
 
 
 def identify(docs: DataFrame, holdout: int = 5) -> DataFrame:
@@ -154,4 +160,4 @@ def identify(docs: DataFrame, holdout: int = 5) -> DataFrame:
     """
     held = (crc_mod("doc_id", holdout) == 0).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return predict(rows, train(rows.where("not held_out")), ["doc_id", "held_out"])
+    return predict(rows, train(rows.where("not held_out")), ["doc_id", "held_out"]).drop("n_grams")

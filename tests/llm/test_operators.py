@@ -223,6 +223,25 @@ def test_langid(docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_langid_is_close_to_exact_trigram_cosines():
+    rng = random.Random(5)
+    short = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(3, 60))) for _ in range(60)]
+    short += ["", "123", "Avec.", "a\tb", "日本 über"]
+    x, has, distinct = langid.bundles(short)
+    counts = []
+    for t in short:
+        letters = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        letters = "".join(c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " ")
+        counts.append(Counter(letters[i : i + 3] for i in range(len(letters) - 2)))
+    grams = {g: i for i, g in enumerate(sorted(set().union(*counts)))}
+    exact = np.zeros((len(short), len(grams)))
+    for i, c in enumerate(counts):
+        exact[i, [grams[g] for g in c]] = list(c.values())
+    assert distinct.tolist() == [len(c) for c in counts]
+    got, want = langid.unit(x), langid.unit(exact)
+    assert np.abs(got @ got.T - want @ want.T)[np.ix_(has, has)].max() < 0.07
+
+
 def test_licenses(docs):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs, ["doc_id"]).collect()}
     hit = got[texts().index("GNU General Public License")]
