@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from sylvan.llm import bpe, covertree, langid, licenses, lm, media, mixing, simhash, substring, warc
 from sylvan.llm.components import components
 from sylvan.llm.eliasfano import EliasFano
@@ -242,6 +243,18 @@ def test_langid_is_close_to_exact_trigram_cosines():
     assert np.abs(got @ got.T - want @ want.T)[np.ix_(has, has)].max() < 0.07
 
 
+def test_language_id_keeps_short_texts(spark):
+    rng = random.Random(6)
+    known = {"en": ["the", "of", "shall", "being"], "de": ["und", "über", "nicht", "schon"]}
+    rows = [(i, " ".join(rng.choice(known[lang]) for _ in range(80)), lang) for i, lang in enumerate(["en", "de"] * 10)]
+    unseen = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    short = list(zip(unseen, ["Qxqx.", "zz", "VJKW!! VJKW!! VJKW!!"], ["en", "de", "en"]))
+    gone = [(200, "123 ...", "en"), (201, None, "de"), (202, "".join(rng.choice("bcdfgjkmpqvwxyz") for _ in range(3000)), None)]
+    docs = spark.createDataFrame(rows + short + gone, "doc_id long, text string, lang string")
+    found = corpus_pipeline.language_id(spark, docs, "")
+    assert found.columns == docs.columns and sorted(r.doc_id for r in found.collect()) == [r[0] for r in rows + short]
+
+
 def test_licenses(docs):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs, ["doc_id"]).collect()}
     hit = got[texts().index("GNU General Public License")]
