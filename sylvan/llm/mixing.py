@@ -1,18 +1,20 @@
 """Mixing sources to target weights by soft domain membership, in DataFrame functions alone.
 
 A classifier fitted on a bounded sample of the labels table predicts for every document the posteriors of three domains: clean, low (quality
-0) and toxic. Rates r_d >= 0 are then fitted by projected gradient least squares (with Nesterov's momentum):
+0) and toxic. Rates r_d >= 0 are then fitted by regularised least squares:
 
     min_r  1/2 sum_k ((sum_d r_d n_d p_dk - t_k) / T)^2 + ridge/2 sum_d n_d/T (r_d - 1)^2
 
-n_d: tokens, p_dk: posteriors, t_k: target tokens. A step needs the domains' totals under the rates so far, one aggregate with one row, and then moves
-every rate by a projection; every ``CHAINED`` steps the rates are written, so a lost executor costs few steps over a small table.
+n_d: tokens, p_dk: posteriors, t_k: target tokens. At the optimum r_d = max(0, 1 - sum_k p_dk y_k), where y_k is the residual of domain k over the
+ridge; Newton's method finds y, three numbers, and each step needs one aggregate with one row. The ridge is lowered until the totals meet the targets.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,8 @@ DOMAINS = ("clean", "low", "toxic")
 TARGET = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 #: Labelled documents to fit on at most, marker words a domain, documents that a marker stands in at least.
 SAMPLE, MARKERS, SUPPORT = 20_000, 64, 5
-RIDGE, STEPS, CLOSE = 1e-3, 40, 1e-4
-#: Steps after which the rates so far are written, so that a plan never holds more of them.
-CHAINED = 8
+#: The first ridge and the last; totals within CLOSE of their target shares count as met, and a gradient under FLAT as none.
+RIDGE, LEAST_RIDGE, CLOSE, FLAT, STEPS = 1e-3, 1e-8, 1e-4, 1e-9, 200
 SPACES = r"[\x20\x09-\x0D]+"
 FEATURES = ("log_words", "distinct", "letters", "word_length", "lines")
 
@@ -102,30 +103,52 @@ def posteriors(table: DataFrame, known: DataFrame) -> list[Column]:
     return [x / sum(parts[1:], parts[0]) for x in parts]
 
 
-def moved(state: DataFrame, residual: list[float], momentum: float, step: float) -> DataFrame:
-    """The state after one more step: projected rate ``r``, and ``y``, the point ahead of it. Projections that follow one another stay in one stage's code."""
-    pull = sum((F.col(f"p_{d}") * e for d, e in zip(DOMAINS, residual)), F.lit(0.0))
-    at = state.withColumn("new", F.greatest(F.lit(0.0), F.col("y") - step * (pull + RIDGE * (F.col("y") - 1))))
-    return at.withColumn("y", F.col("new") + momentum * (F.col("new") - F.col("r"))).drop("r").withColumnRenamed("new", "r")
+def rate_of(y: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{d}") * float(v) for d, v in zip(DOMAINS, y)), F.lit(0.0)))
+
+
+def totals(table: DataFrame, total: float, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Under the rates that y gives, as shares of all tokens: half the sum of squared rates, the domains' totals, and the derivatives of the totals by -y."""
+    k, w = range(len(DOMAINS)), F.col("n_tokens") / F.lit(float(total))
+    live = table.select(*[f"p_{d}" for d in DOMAINS], w.alias("w"), rate_of(y).alias("r"))
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    on = F.when(F.col("r") > 0, F.col("w")).otherwise(0.0)
+    row = live.agg(F.sum(F.col("w") * F.col("r") * F.col("r") / 2), *[F.sum(F.col("w") * F.col("r") * x) for x in p], *[F.sum(on * p[i] * p[j]) for i in k for j in k]).first()
+    return row[0], np.array(row[1 : 1 + len(p)]), np.array(row[1 + len(p) :]).reshape(len(p), -1)
+
+
+def newton(table: DataFrame, total: float, share: np.ndarray, ridge: float, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The optimal y for a ridge, and the totals' residuals there; raises if the gradient doesn't vanish. The dual is convex with pieces of quadratics; steps are halved until they go down."""
+    step, size, best = np.zeros(len(y)), 1.0, None
+    for _ in range(STEPS):
+        at = y + size * step
+        half, mass, slope = totals(table, total, at)
+        value, pull = half + share @ at + ridge / 2 * at @ at, share + ridge * at - mass
+        if np.abs(pull).max() < FLAT:
+            return at, mass - share
+        if best is not None and value > best + 1e-4 * size * (gradient @ step) + 1e-14 * abs(best) and size > 1e-9:
+            size /= 2
+            continue
+        y, size, best, gradient = at, 1.0, value, pull
+        step = -np.linalg.solve(slope + ridge * np.eye(len(y)), pull)
+    raise ValueError(f"the rates' fit did not converge: gradient {np.abs(pull).max()} after {STEPS} steps")
 
 
 def fit_rates(table: DataFrame, target: dict[str, float]) -> DataFrame:
-    """Adds to ``table(n_tokens, p_clean, p_low, p_toxic, ...)`` the ``rate`` by which the expected token totals come as near to the target shares of all tokens as the ridge lets them."""
+    """Adds to ``table(n_tokens, p_clean, p_low, p_toxic, ...)`` the ``rate`` by which the expected token totals meet the target shares of all tokens; where no rates do, they come as near as a ridge lets them whose lowering gains nothing, and a warning tells how near."""
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return table.withColumn("rate", F.lit(1.0))
-    state, step, momentum = table.withColumn("r", F.lit(1.0)).withColumn("y", F.lit(1.0)), 1 / (1 + RIDGE), 1.0
-    for k in range(1, STEPS + 1):
-        mass = state.agg(*[F.sum(F.col("y") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-        residual = [mass[d] / total - target[d] for d in DOMAINS]
-        nxt = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        state = moved(state, residual, (momentum - 1) / nxt, step)
-        momentum = nxt
-        if max(map(abs, residual)) < CLOSE:
+    share, ridge = np.array([target[d] for d in DOMAINS]), RIDGE
+    y, residual = newton(table, total, share, ridge, np.zeros(len(DOMAINS)))
+    while np.abs(residual).max() >= CLOSE and ridge / 10 >= LEAST_RIDGE * 0.99:
+        nxt, left = newton(table, total, share, ridge / 10, y)
+        if np.linalg.norm(left) > 0.999 * np.linalg.norm(residual):
             break
-        if k % CHAINED == 0:
-            state = cut(state, "rates")
-    return state.withColumnRenamed("r", "rate").drop("y")
+        y, residual, ridge = nxt, left, ridge / 10
+    if np.abs(residual).max() >= CLOSE:
+        logging.getLogger(__name__).warning("targets not met; shares of tokens over the target: %s", dict(zip(DOMAINS, residual.tolist())))
+    return table.withColumn("rate", rate_of(y))
 
 
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET) -> DataFrame:

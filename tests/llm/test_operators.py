@@ -268,3 +268,17 @@ def test_mixing(spark, docs, empty):
     assert len(rows) == len(texts()) and all(r.rate >= 0 and abs(r.p_clean + r.p_low + r.p_toxic - 1) < 1e-6 for r in rows)
     assert mixing.mix(docs, labels.limit(0)).count() == len(texts()) and mixing.mix(empty, labels).count() == 0
     assert mixing.dealt(docs, labels).columns == docs.columns
+
+
+@pytest.mark.parametrize("shares", [(9900, 90, 10), (9850, 100, 50), (9989, 1, 10)])
+def test_mixing_meets_targets_for_rare_domains(spark, shares):
+    rows = [(n, *[float(j == k) for j in range(3)]) for k, n in enumerate(shares)] + [(0, 0.2, 0.3, 0.5)]
+    found = mixing.fit_rates(spark.createDataFrame(rows, "n_tokens long, p_clean double, p_low double, p_toxic double"), mixing.TARGET).collect()
+    for d in mixing.DOMAINS:
+        assert abs(sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in found) / sum(shares) - mixing.TARGET[d]) < 2e-4
+
+
+def test_mixing_without_a_way_to_the_targets(spark):
+    third = [(10, 1 / 3, 1 / 3, 1 / 3)] * 3
+    found = mixing.fit_rates(spark.createDataFrame(third, "n_tokens long, p_clean double, p_low double, p_toxic double"), mixing.TARGET).collect()
+    assert all(abs(r.rate - 1) < 1e-2 for r in found)
