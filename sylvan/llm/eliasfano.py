@@ -21,10 +21,10 @@ def or_words(at: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
 class EliasFano:
     """A non-decreasing sequence below ``universe``: ``width`` low bits packed, high parts in unary."""
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
+    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
         self.n, self.width, self.low, self.high = n, width, low, high
-        self.ones = np.r_[0, np.cumsum(np.bitwise_count(high), dtype=np.int64)]
-        self.zeros = np.arange(len(high) + 1) * 64 - self.ones
+        #: Ones and zeros before each word of the high parts.
+        self.ones, self.zeros = ones, zeros
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -39,18 +39,20 @@ class EliasFano:
         packed |= or_words(word[over] + 1, low[over] >> (np.uint64(64) - shift[over]), size)
         place = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         high = or_words(place >> 6, U1 << (place & 63).astype(np.uint64), ((int(universe) >> width) + n >> 6) + 2)
-        return cls(n, width, packed, high)
+        ones = np.r_[0, np.cumsum(np.bitwise_count(high), dtype=np.int64)]
+        kind = np.uint32 if len(high) < 1 << 25 else np.int64
+        return cls(n, width, packed, high, ones.astype(kind), (np.arange(len(ones)) * 64 - ones).astype(kind))
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.width], np.int64), self.low, self.high]
+        return [np.array([self.n, self.width], np.int64), self.low, self.high, self.ones, self.zeros]
 
     @classmethod
-    def from_arrays(cls, head: np.ndarray, low: np.ndarray, high: np.ndarray) -> EliasFano:
-        return cls(int(head[0]), int(head[1]), low, high)
+    def from_arrays(cls, head: np.ndarray, *arrays: np.ndarray) -> EliasFano:
+        return cls(int(head[0]), int(head[1]), *arrays)
 
     def select(self, rank: np.ndarray, counts: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the rank-th one (or zero) of the high parts."""
-        word = np.searchsorted(counts, rank, "right") - 1
+        word = np.searchsorted(counts, rank.astype(counts.dtype), "right") - 1
         left = rank - counts[word]
         bits = self.high[word]
         bits = ~bits if flip else bits
