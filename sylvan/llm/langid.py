@@ -1,8 +1,9 @@
 """Language identification with hyperdimensional profiles.
 
 Every letter has a fixed random +-1 vector. A letter trigram abc is bound as rho(rho(a)) * rho(b) * c, rho a rotation by one; a
-document bundles (adds) its trigrams' vectors. A language's prototype bundles the unit vectors of its training documents,
-and a document takes the language of the closest prototype by cosine.
+document bundles (adds) its trigrams' vectors. A language's prototype bundles its training documents, each scaled by the norm of its trigram
+counts; as binding depends on the trigram alone, tasks sum the trigrams' weights and bind each trigram once. A document takes the language of the
+closest prototype by cosine.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from sylvan.llm import text as tx
 from sylvan.llm.shared import crc_mod
 
-DIM, BLOCK = 8192, 256
+DIM = 4096
 #: Texts bundled at once, and trigrams bound at once: memory is these times DIM.
 ROWS, BOUND = 512, 2048
-#: Unit vectors are added as integers of this scale, so that sums do not depend on their order.
+#: Entries of a table of texts by trigrams, and trigrams of a language that a task sums before it binds them.
+TABLE, KEYS = 8_000_000, 300_000
+#: Documents' weights are whole numbers of this scale, so that sums do not depend on their order.
 SCALE = 1 << 24
 UNKNOWN = "und"
 
@@ -38,21 +41,17 @@ def letter(code: int) -> np.ndarray:
     return (np.unpackbits(x.view(np.uint8)).astype(np.int8) * 2 - 1)[:DIM]
 
 
-def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One bundle per text, whether the text has a letter, and its number of distinct trigrams. Words are parted by one blank, which is a letter here."""
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whether each has a letter, the trigrams' letters as one number, where each text's begin (one entry more), and the letters. Words are parted by one blank, which is a letter here."""
     codes = [np.frombuffer((" " + (t or "").lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    size = np.array([len(c) for c in codes])
     code = np.concatenate(codes)
     is_letter = alpha()[code]
-    doc = np.repeat(np.arange(len(texts)), size)
+    doc = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
     has = np.bincount(doc[is_letter], minlength=len(texts)) > 0
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1] | (doc[1:] != doc[:-1])
     keep[0] = True
     code, doc = np.where(is_letter, code, 32)[keep], doc[keep]
-    out, distinct = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), np.int64)
-    if len(code) < 3:
-        return out, has, distinct
     known = np.zeros(0x110000, bool)
     known[code] = True
     letters = np.flatnonzero(known)
@@ -61,34 +60,106 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     code, k = number[code], len(letters)
     gram = (code[:-2] * k + code[1:-1]) * k + code[2:]
     inside = doc[2:] == doc[:-2]
-    gram, doc = gram[inside], doc[:-2][inside]
+    return has, gram[inside], np.searchsorted(doc[:-2][inside], np.arange(len(texts) + 1)), letters
+
+
+def numbered(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of k letters, and the number of each trigram among them."""
+    if k**3 > 4_000_000:
+        return np.unique(gram, return_inverse=True)
+    used = np.zeros(k**3, bool)
+    used[gram] = True
+    ids = np.flatnonzero(used)
+    where = np.zeros(k**3, np.int64)
+    where[ids] = np.arange(len(ids))
+    return ids, where[gram]
+
+
+def bind(ids: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The +-1 vectors of trigrams."""
+    k = len(letters)
+    third, second, first = ids % k, ids // k % k, ids // (k * k)
     vectors = np.stack([letter(int(c)) for c in letters])
-    second, first = np.roll(vectors, 1, 1), np.roll(vectors, 2, 1)
-    edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for a in range(0, len(texts), BLOCK):
-        b = min(a + BLOCK, len(texts))
-        g, d = gram[edge[a] : edge[b]], doc[edge[a] : edge[b]] - a
-        if not len(g):
-            continue
-        if k**3 <= 4_000_000:
-            used = np.zeros(k**3, bool)
-            used[g] = True
-            ids = np.flatnonzero(used)
-            where = np.zeros(k**3, np.int64)
-            where[ids] = np.arange(len(ids))
-            g = where[g]
-        else:
-            ids, g = np.unique(g, return_inverse=True)
-        for i in range(0, len(ids), BOUND):  # so many trigrams at a time, whatever the alphabet
-            part = ids[i : i + BOUND]
-            bound = first[part // (k * k)] * second[part // k % k] * vectors[part % k]
-            own = (g >= i) & (g < i + len(part)) if len(ids) > BOUND else slice(None)
-            counts = np.bincount(d[own] * len(part) + g[own] - i, minlength=(b - a) * len(part)).reshape(b - a, -1)
-            out[a:b] += counts.astype(np.float32) @ bound.astype(np.float32)
-            distinct[a:b] += np.count_nonzero(counts, axis=1)
+    out = np.roll(vectors, 2, 1)[first]
+    out *= np.roll(vectors, 1, 1)[second]
+    out *= vectors[third]
+    return out
+
+
+@cache
+def held() -> np.ndarray:
+    """A worker's room for bound vectors."""
+    return np.zeros((BOUND, DIM), np.float32)
+
+
+def counted(gram: np.ndarray, edge: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose trigrams begin at ``edge``: the distinct trigrams, each trigram's number among them, and its text."""
+    ids, g = numbered(gram[edge[0] : edge[-1]], k)
+    return ids, g, np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+
+
+def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One bundle per text, whether the text has a letter, and its number of distinct trigrams."""
+    has, gram, edge, letters = trigrams(texts)
+    out, distinct = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), np.int64)
+    ids, g, doc = counted(gram, edge, len(letters))
+    for i in range(0, len(ids), BOUND):  # so many trigrams at a time, whatever the alphabet
+        part = ids[i : i + BOUND]
+        own = np.flatnonzero((g >= i) & (g < i + len(part))) if len(ids) > BOUND else slice(None)
+        counts = np.bincount(doc[own] * len(part) + g[own] - i, minlength=len(texts) * len(part)).reshape(len(texts), -1)
+        distinct += np.count_nonzero(counts, axis=1)
+        bound = held()[: len(part)]
+        np.copyto(bound, bind(part, letters))
+        out += counts.astype(np.float32) @ bound
     return out, has, distinct
 
 
+class Profiles:
+    """Sums of languages' unit trigram profiles, as sums by trigram; they go into the prototype when there are many."""
+
+    def __init__(self) -> None:
+        self.grams: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.bundled: dict[str, np.ndarray] = {}
+
+    def add(self, texts: list[str | None], langs: np.ndarray) -> None:
+        has, gram, edge, letters = trigrams(texts)
+        k = len(letters)
+        ids, g, doc = counted(gram, edge, k)
+        at = np.bincount(doc * len(ids) + g, minlength=len(texts) * len(ids)).reshape(len(texts), -1) if len(ids) * len(texts) <= TABLE else None
+        if at is None:  # an alphabet of many letters: pairs that stand there only
+            pair, n = np.unique(doc * len(ids) + g, return_counts=True)
+            d, g = pair // len(ids), pair % len(ids)
+        else:
+            d, g = np.nonzero(at)
+            n = at[d, g]
+        norm = np.sqrt(np.bincount(d, n.astype(np.float64) ** 2, minlength=len(texts)))
+        weight = np.rint(SCALE * n / norm[d]).astype(np.int64)
+        code = (letters[ids // (k * k)] << 42) | (letters[ids // k % k] << 21) | letters[ids % k]
+        for lang in set(langs.tolist()):
+            own = np.flatnonzero(((langs == lang) & has)[d])
+            total = np.bincount(g[own], weight[own], minlength=len(ids))  # whole numbers, far below 2**53
+            some = np.flatnonzero(total)
+            keys, sums = self.grams.get(lang, (code[:0], total[:0]))
+            keys, back = np.unique(np.r_[keys, code[some]], return_inverse=True)
+            self.grams[lang] = keys, np.bincount(back, np.r_[sums, total[some]], minlength=len(keys))
+            if len(keys) > KEYS:
+                self.bundle(lang)
+
+    def bundle(self, lang: str) -> None:
+        keys, sums = self.grams.pop(lang)
+        letters, number = np.unique(np.r_[keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], return_inverse=True)
+        first, second, third = number.reshape(3, -1)
+        ids, out = (first * len(letters) + second) * len(letters) + third, self.bundled.get(lang, np.zeros(DIM))
+        for i in range(0, len(ids), BOUND):
+            out = out + sums[i : i + BOUND] @ bind(ids[i : i + BOUND], letters)
+        self.bundled[lang] = out
+
+    def prototypes(self) -> dict[str, np.ndarray]:
+        for lang in list(self.grams):
+            self.bundle(lang)
+        return self.bundled
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x.astype(np.float64), axis=-1, keepdims=True)
     return np.divide(x, norm, out=np.zeros(x.shape), where=norm > 0)
@@ -106,16 +177,13 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
     """``labelled(text, lang)`` -> prototypes. Null languages and texts without letters teach nothing. The sums have one row per language and dimension, whatever the input's size."""
 
     def run(batches):
-        total: dict[str, np.ndarray] = {}
+        profiles = Profiles()
         for batch in batches:
             lang = np.array(batch.column(1).to_pylist(), object)
             for a, b, texts in blocks(batch, 0):
-                x, has, _ = bundles(texts)
-                v = np.rint(unit(x) * SCALE).astype(np.int64)
-                for name in set(lang[a:b].tolist()):
-                    total[name] = total.get(name, 0) + v[(lang[a:b] == name) & has].sum(0)
-        for name, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(np.arange(DIM)), pa.array(v)], ["lang", "dim", "v"])
+                profiles.add(texts, lang[a:b])
+        for name, v in profiles.prototypes().items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(np.arange(DIM)), pa.array(v.astype(np.int64))], ["lang", "dim", "v"])
 
     rows = labelled.where("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, dim long, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect()
     out: dict[str, np.ndarray] = {}
