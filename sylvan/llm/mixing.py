@@ -5,8 +5,8 @@ A classifier fitted on a bounded sample of the labels table predicts for every d
 
     min_r  1/2 sum_k ((sum_d r_d n_d p_dk - t_k) / T)^2 + ridge/2 sum_d n_d/T (r_d - 1)^2
 
-n_d: tokens, p_dk: posteriors, t_k: target tokens. At the optimum r_d = max(0, 1 - sum_k p_dk y_k), where y_k is the residual of domain k over the
-ridge; Newton's method finds y, three numbers, and each step needs one aggregate with one row. The ridge is lowered until the totals meet the targets.
+n_d: tokens, p_dk: posteriors, t_k: target tokens. With rows weighted by n_d/T the gradient of r_d is sum_k p_dk s_k + ridge (r_d - 1), s_k the residual of
+domain k, so a projected-gradient step needs three numbers and its outcome one aggregate with one row. The ridge only chooses among rates that meet the targets.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ DOMAINS = ("clean", "low", "toxic")
 TARGET = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 #: Labelled documents to fit on at most, marker words a domain, documents that a marker stands in at least.
 SAMPLE, MARKERS, SUPPORT = 20_000, 64, 5
-#: The first ridge and the last; totals within CLOSE of their target shares count as met, and a gradient under FLAT as none.
-RIDGE, LEAST_RIDGE, CLOSE, FLAT, STEPS = 1e-3, 1e-8, 1e-4, 1e-9, 200
+#: Totals within CLOSE of their target shares count as met; a projected gradient under FLAT counts as none; steps whose rates are worked out in one go.
+RIDGE, CLOSE, FLAT, STEPS, TOGETHER = 1e-8, 1e-4, 1e-6, 2000, 24
 SPACES = r"[\x20\x09-\x0D]+"
 FEATURES = ("log_words", "distinct", "letters", "word_length", "lines")
 
@@ -103,52 +103,53 @@ def posteriors(table: DataFrame, known: DataFrame) -> list[Column]:
     return [x / sum(parts[1:], parts[0]) for x in parts]
 
 
-def rate_of(y: np.ndarray) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{d}") * float(v) for d, v in zip(DOMAINS, y)), F.lit(0.0)))
+def stepped(r: Column, s: np.ndarray, a: float, ridge: float) -> Column:
+    """The rate after a step of length a down the gradient, projected on what isn't negative."""
+    pull = sum((F.col(f"p_{d}") * float(a * v) for d, v in zip(DOMAINS, s)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), r * (1 - a * ridge) - pull + a * ridge)
 
 
-def totals(table: DataFrame, total: float, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Under the rates that y gives, as shares of all tokens: half the sum of squared rates, the domains' totals, and the derivatives of the totals by -y."""
-    k, w = range(len(DOMAINS)), F.col("n_tokens") / F.lit(float(total))
-    live = table.select(*[f"p_{d}" for d in DOMAINS], w.alias("w"), rate_of(y).alias("r"))
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    on = F.when(F.col("r") > 0, F.col("w")).otherwise(0.0)
-    row = live.agg(F.sum(F.col("w") * F.col("r") * F.col("r") / 2), *[F.sum(F.col("w") * F.col("r") * x) for x in p], *[F.sum(on * p[i] * p[j]) for i in k for j in k]).first()
-    return row[0], np.array(row[1 : 1 + len(p)]), np.array(row[1 + len(p) :]).reshape(len(p), -1)
+def fitted(table: DataFrame, target: dict[str, float], ridge: float = RIDGE, flat: float = FLAT) -> tuple[DataFrame, dict[str, float]]:
+    """``table(n_tokens, p_clean, p_low, p_toxic, ...)`` with the ``rate`` by which the expected token totals meet the target shares, and the shares they reach.
 
-
-def newton(table: DataFrame, total: float, share: np.ndarray, ridge: float, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The optimal y for a ridge, and the totals' residuals there; raises if the gradient doesn't vanish. The dual is convex with pieces of quadratics; steps are halved until they go down."""
-    step, size, best = np.zeros(len(y)), 1.0, None
-    for _ in range(STEPS):
-        at = y + size * step
-        half, mass, slope = totals(table, total, at)
-        value, pull = half + share @ at + ridge / 2 * at @ at, share + ridge * at - mass
-        if np.abs(pull).max() < FLAT:
-            return at, mass - share
-        if best is not None and value > best + 1e-4 * size * (gradient @ step) + 1e-14 * abs(best) and size > 1e-9:
-            size /= 2
-            continue
-        y, size, best, gradient = at, 1.0, value, pull
-        step = -np.linalg.solve(slope + ridge * np.eye(len(y)), pull)
-    raise ValueError(f"the rates' fit did not converge: gradient {np.abs(pull).max()} after {STEPS} steps")
-
-
-def fit_rates(table: DataFrame, target: dict[str, float]) -> DataFrame:
-    """Adds to ``table(n_tokens, p_clean, p_low, p_toxic, ...)`` the ``rate`` by which the expected token totals meet the target shares of all tokens; where no rates do, they come as near as a ridge lets them whose lowering gains nothing, and a warning tells how near."""
+    Spectral projected gradient (Birgin, Martinez, Raydan, 2000): one aggregate with one row a step, until no rate's projected gradient is over ``flat``. Raises if it
+    is after STEPS steps; warns if rates that meet the targets don't exist. Where there are no tokens all rates are 1.
+    """
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
-        return table.withColumn("rate", F.lit(1.0))
-    share, ridge = np.array([target[d] for d in DOMAINS]), RIDGE
-    y, residual = newton(table, total, share, ridge, np.zeros(len(DOMAINS)))
-    while np.abs(residual).max() >= CLOSE and ridge / 10 >= LEAST_RIDGE * 0.99:
-        nxt, left = newton(table, total, share, ridge / 10, y)
-        if np.linalg.norm(left) > 0.999 * np.linalg.norm(residual):
-            break
-        y, residual, ridge = nxt, left, ridge / 10
-    if np.abs(residual).max() >= CLOSE:
-        logging.getLogger(__name__).warning("targets not met; shares of tokens over the target: %s", dict(zip(DOMAINS, residual.tolist())))
-    return table.withColumn("rate", rate_of(y))
+        return table.withColumn("rate", F.lit(1.0)), {}
+    share, p, r = np.array([target[d] for d in DOMAINS]), [F.col(f"p_{d}") for d in DOMAINS], F.col("rate")
+    weight = F.col("n_tokens") / F.lit(float(total))
+    now, length, past, steps = table.withColumn("rate", F.lit(1.0)), 1.0, [], 0
+    start = now.agg(*[F.sum(weight * x) for x in p]).first()
+    s = np.array(start) - share
+    past.append(s @ s / 2)
+    for done in range(1, STEPS + 1):
+        moved = now.withColumn("next", stepped(r, s, length, ridge))
+        d = F.col("next") - r
+        row = moved.agg(F.max(F.abs(r - stepped(r, s, 1.0, ridge))), F.sum(weight * d * d), F.sum(weight * (F.col("next") - 1) * (F.col("next") - 1)), *[F.sum(weight * F.col("next") * x) for x in p]).first()
+        if row[0] < flat:
+            reached = dict(zip(DOMAINS, (s + share).tolist()))
+            if np.abs(s).max() >= CLOSE:
+                logging.getLogger(__name__).warning("targets not met; shares of tokens: %s", reached)
+            return now, reached
+        after = np.array(row[3:]) - share
+        value = after @ after / 2 + ridge / 2 * row[2]
+        if value > max(past[-8:]) - 1e-4 / length * row[1] + 1e-18:
+            length /= 2
+            continue
+        curve = (after - s) @ (after - s) + ridge * row[1]
+        now, s = moved.withColumn("rate", F.col("next")).drop("next"), after
+        past.append(value)
+        length = min(1e6, max(1e-6, row[1] / curve)) if curve > 0 else 1.0
+        steps += 1
+        if steps % TOGETHER == 0:
+            now = cut(now, "rates")
+    raise ValueError(f"the rates' fit did not converge: projected gradient {row[0]} after {done} steps")
+
+
+def fit_rates(table: DataFrame, target: dict[str, float], ridge: float = RIDGE) -> DataFrame:
+    return fitted(table, target, ridge)[0]
 
 
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET) -> DataFrame:
