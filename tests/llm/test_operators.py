@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+import sylvan.llm.components as module
 from sylvan.llm import bpe, covertree, langid, licenses, lm, media, mixing, simhash, substring, warc
 from sylvan.llm.components import components
 from sylvan.llm.eliasfano import EliasFano
@@ -106,6 +107,23 @@ def test_components(spark):
     assert got == label
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A chain of 5,000 links in any order of names, and a star of 100,000 leaves under its largest vertex."""
+    rounds = []
+    kept = module.cut
+    monkeypatch.setattr(module, "cut", lambda df, what: (rounds.append(what), kept(df, what))[1])
+    names = random.Random(3).sample(range(5001), 5001)
+    for chain in (range(5001), names):
+        rounds.clear()
+        links = spark.createDataFrame(list(zip(chain[:-1], chain[1:])), "a long, b long")
+        assert [tuple(r) for r in components(links).groupBy("component_id").count().collect()] == [(0, 5001)]
+        assert rounds.count("labels") <= 15 and len(rounds) <= 60
+    rounds.clear()
+    star = spark.range(100_000).selectExpr("id as a", "100000L as b")
+    assert [tuple(r) for r in components(star).groupBy("component_id").count().collect()] == [(0, 100_001)]
+    assert rounds.count("labels") <= 3
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
@@ -211,10 +229,18 @@ def test_lm_keeps_every_ngram(spark):
         whole = c[len(gram) - 2][gram[:-1]]
         return max(c[len(gram) - 1][gram] - lm.DISCOUNT, 0) / whole + (1 - sum(n - lm.DISCOUNT for n in known) / whole) * below
 
-    got = {r.doc_id: r.score for r in lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got, near = ({r.doc_id: r.score for r in lm.train_and_score(table, quantised=q).collect()} for q in (False, True))
     for i, w in enumerate(words):
         seen = [None] + w
-        assert math.isclose(got[i], sum(math.log10(p(tuple(seen[max(0, j - 2) : j + 1]))) for j in range(1, len(seen))), rel_tol=1e-6, abs_tol=1e-6)
+        want = sum(math.log10(p(tuple(seen[max(0, j - 2) : j + 1]))) for j in range(1, len(seen)))
+        assert math.isclose(got[i], want, rel_tol=1e-6, abs_tol=1e-6) and abs(near[i] - want) < 5e-4 * len(w)
+
+
+def test_lm_splits_contexts_and_shards_alike(docs):
+    """Shards of a few tokens and contexts split over several give the same scores."""
+    whole, split = ({r.doc_id: r.score for r in lm.train_and_score(docs, **x).collect()} for x in ({}, {"most": 50, "each": 20_000}))
+    assert split.keys() == whole.keys() and all(math.isclose(split[i], whole[i], rel_tol=1e-12) for i in whole)
 
 
 def test_langid(docs, empty):
@@ -224,6 +250,41 @@ def test_langid(docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_langid_against_brute_force(spark):
+    """Bundles added trigram by trigram, prototypes document by document."""
+    rng = random.Random(11)
+    known = {"en": "the of shall being with", "de": "und über nicht schon weiß", "ja": "日本 東京 の は"}
+    rows = [(i, " ".join(rng.choice(known[lang].split()) for _ in range(rng.randint(1, 40))), lang) for i, lang in enumerate(["en", "de", "ja", "en"] * 12)]
+    rows += [(50, "the the über", None), (51, None, "en"), (52, "12 3", "de"), (53, "Nicht", "de"), (53, "Nicht", "de"), (None, "shall", "en")]
+
+    def bundle(text):
+        letters = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        letters = "".join(c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " ")
+        grams = Counter(letters[i : i + 3] for i in range(len(letters) - 2))
+        vector = lambda c, n: np.roll(langid.letter(ord(c)).astype(np.int64), n)
+        return sum((n * vector(g[0], 2) * vector(g[1], 1) * vector(g[2], 0) for g, n in grams.items()), np.zeros(langid.DIM)), math.sqrt(sum(n * n for n in grams.values()))
+
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    prototypes = {lang: np.zeros(langid.DIM) for lang in sorted(known)}
+    for i, text, lang in rows:
+        if not held(i) and lang and text and any(c.isalpha() for c in text):
+            b, norm = bundle(text)
+            prototypes[lang] += b / norm
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.held_out, r.lang_pred, r.score) for r in langid.identify(table).collect()))
+    want = []
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            want.append((i, held(i), "und", 0.0))
+            continue
+        b, _ = bundle(text)
+        cos = {lang: b @ p / np.linalg.norm(b) / np.linalg.norm(p) for lang, p in prototypes.items()}
+        best = max(cos, key=cos.get)
+        want.append((-1 if i is None else i, held(i), best, min(1, max(0, cos[best]))))
+    for g, w in zip(got, sorted(want)):
+        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-6
+
+
 def test_langid_is_close_to_exact_trigram_cosines():
     rng = random.Random(5)
     short = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(3, 60))) for _ in range(60)]
@@ -278,6 +339,23 @@ def test_mixing_meets_targets_for_rare_domains(spark, shares):
         assert abs(sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in found) / sum(shares) - mixing.TARGET[d]) < 2e-4
 
 
+def test_mixing_rates_against_another_solver(spark):
+    """The rates of the regularised problem, by Newton's method on its dual: r = max(0, 1 - p.y)."""
+    rng = np.random.default_rng(4)
+    n, p, ridge = rng.integers(0, 900, 300), rng.dirichlet([4, 0.6, 0.3], 300), 1e-3
+    share, w, y = np.array([mixing.TARGET[d] for d in mixing.DOMAINS]), n / n.sum(), np.zeros(3)
+    for _ in range(200):
+        r = np.maximum(0, 1 - p @ y)
+        gradient, slope = share + ridge * y - (w * r) @ p, (p * (w * (r > 0))[:, None]).T @ p + ridge * np.eye(3)
+        y = y - 0.5 * np.linalg.solve(slope, gradient)
+    rows = [(i, int(k), *map(float, x)) for i, (k, x) in enumerate(zip(n, p))]
+    table = spark.createDataFrame(rows, "i long, n_tokens long, p_clean double, p_low double, p_toxic double")
+    found, reached = mixing.fitted(table, mixing.TARGET, ridge, 1e-9)
+    got = np.array([x.rate for x in found.orderBy("i").collect()])
+    assert (r == 0).any() and np.abs(got - r).max() < 1e-4
+    assert np.allclose([reached[d] for d in mixing.DOMAINS], (w * got) @ p)
+
+
 def test_mixing_without_a_way_to_the_targets(spark):
     third = [(10, 1 / 3, 1 / 3, 1 / 3)] * 3
     found = mixing.fit_rates(spark.createDataFrame(third, "n_tokens long, p_clean double, p_low double, p_toxic double"), mixing.TARGET).collect()
