@@ -104,6 +104,13 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
 
 
+def offsets(segs: DataFrame) -> DataFrame:
+    """Segments with ``size`` -> also ``at``, the byte at which the magic before the segment begins (null before the first), and ``end``, the file's size."""
+    w = Window.partitionBy("file").orderBy("block", "nth")
+    size = F.sum(F.col("size") + len(MAGIC))
+    return segs.withColumn("at", size.over(w.rowsBetween(Window.unboundedPreceding, -1)) - len(MAGIC)).withColumn("end", size.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - len(MAGIC))
+
+
 def reached(candidates: DataFrame) -> DataFrame:
     """``(file, at, next)`` -> the ``(file, at)`` on the chain from offset 0 of each file, by pointer jumping: after k rounds a jump spans 2^k records."""
     jump = candidates.select("file", "at", "next")
@@ -129,10 +136,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("whole", F.coalesce(F.col("size") == F.col("head_bytes") + F.col("length") + len(END), F.lit(False)))
     rows = with_fields(rows.withColumn("value", F.when(F.col("whole"), F.col("value"))))
     segs = cut(rows.select("file", "block", "nth", "size", "whole", "head_bytes", "length", *FIELDS), "segments")
-    w = Window.partitionBy("file").orderBy("block", "nth")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    placed = segs.withColumn("at", F.sum(F.col("size") + len(MAGIC)).over(before) - len(MAGIC)).withColumn("end", F.sum(F.col("size") + len(MAGIC)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - len(MAGIC))
-    placed = placed.withColumn("next", F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("length") + len(END))
+    placed = offsets(segs).withColumn("next", F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("length") + len(END))
     placed = cut(placed, "placed")
     candidates = placed.where("at is not null and next is not null and next > at and next <= end")
     chain = reached(candidates)
@@ -144,19 +148,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     out = kept.where("whole").select(*FIELDS)
     odd = kept.where("not whole").select("file", F.col("at").alias("start"), F.col("next").alias("stop"))
     if not odd.isEmpty():
-        out = out.unionByName(reassembled(spark, path, placed, odd).select(*FIELDS))
+        out = out.unionByName(reassembled(spark, path, odd).select(*FIELDS))
     return out
 
 
-def reassembled(spark: SparkSession, path: str, placed: DataFrame, odd: DataFrame) -> DataFrame:
-    """Records ``odd(file, start, stop)`` whose payload holds the magic: their segments are read again and joined in order."""
-    cover = F.when(F.col("start").isNotNull(), F.col("start"))
+def reassembled(spark: SparkSession, path: str, odd: DataFrame) -> DataFrame:
+    """Records ``odd(file, start, stop)`` whose payload holds the magic: their files are read again, placed anew by byte offset, and the segments of each record joined in order.
+
+    Raises unless every record comes back with all of its bytes."""
+    odd = cut(odd, "odd")
+    files = odd.select("file").distinct()
+    texts = segments(spark, path).join(F.broadcast(files) if files.count() <= FEW else files, "file", "left_semi")
+    placed = offsets(texts.withColumn("size", F.octet_length("value").cast("long")))
     w = Window.partitionBy("file").orderBy("at")
-    opens = odd.select("file", F.col("start").alias("at"), "start", "stop")
-    marked = placed.where("at is not null").select("file", "block", "nth", "at").join(opens, ["file", "at"], "left")
-    inside = marked.withColumn("start", F.last(cover, True).over(w)).withColumn("stop", F.last("stop", True).over(w)).where("at >= start and at < stop").select("file", "block", "nth", "at", "start")
-    inside = cut(inside, "odd")
-    needed = F.broadcast(inside) if inside.count() <= FEW else inside
-    texts = segments(spark, path).join(needed, ["file", "block", "nth"])
-    whole = texts.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
-    return with_fields(with_header(whole.withColumn("value", F.array_join(F.col("parts.value"), MAGIC))))
+    marked = placed.join(odd.withColumn("at", F.col("start")), ["file", "at"], "left").withColumn("start", F.last("start", True).over(w)).withColumn("stop", F.last("stop", True).over(w))
+    inside = marked.where("at >= start and at < stop").groupBy("file", "start", "stop").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    whole = cut(inside.select("start", "stop", F.array_join(F.col("parts.value"), MAGIC).alias("value")), "reassembled")
+    if whole.where(F.octet_length("value") + len(MAGIC) != F.col("stop") - F.col("start")).count() or whole.count() != odd.count():
+        raise ValueError("a record came back without some of its bytes")
+    return with_fields(with_header(whole))
