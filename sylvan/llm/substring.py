@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.llm import text as tx
+from sylvan.llm.shared import cut
 
 #: Words in a window, and in the k-mers from which a window's minimiser is taken.
 K, ANCHOR = 13, 6
-#: at: first window << 32 | windows. checks: four bytes per window; for paths that are settled already (windows < 0) the source coordinate.
+#: Bytes of a window's hash that a chain carries; with its minimiser's 64 bits they tell windows apart.
+CHECK = 6
+#: at: first window << 32 | windows. checks: CHECK bytes per window; for paths that are settled already (windows < 0) the source coordinate.
 CHAIN = "key long, doc long, at long, checks binary"
 PATH = "doc long, start int, n int, own_doc long, own_start int"
 
@@ -94,18 +97,18 @@ def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 source["doc"], source["start"] = found[3], found[4]
                 yield chain_rows(tx.mix(found[0].astype(np.uint64)), found[0], found[1], -found[2], source, np.arange(n + 1) * 12)
             keep = ~later
-            doc, pos, low, check = doc[keep], pos[keep], low[keep], (edge[keep] >> np.uint64(32)).astype("<u4")
+            doc, pos, low, check = doc[keep], pos[keep], low[keep], edge[keep].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHECK]
             if not len(doc):
                 continue
             same = np.zeros(len(doc), bool)
             same[1:] = (low[1:] == low[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1)
             at = runs(same)
             size = np.diff(np.r_[at, len(doc)]).astype(np.int32)
-            yield chain_rows(low[at], doc[at], pos[at], size, check, np.r_[at, len(doc)] * 4)
+            yield chain_rows(low[at], doc[at], pos[at], size, check, np.r_[at, len(doc)] * CHECK)
 
 
 def chain_rows(key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, blob: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
-    checks = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(blob).view(np.uint8))])
+    checks = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(blob).view(np.uint8).ravel())])
     at = start.astype(np.int64) << 32 | n.astype(np.int64) & 0xFFFFFFFF
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), checks], ["key", "doc", "at", "checks"])
 
@@ -145,7 +148,9 @@ def repeated(rows: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
         return
     rows = rows.filter(pa.array(shared))
     key, doc, start, n = key[shared], doc[shared], start[shared], n[shared]
-    check = np.frombuffer(b"".join(rows.column(3).to_pylist()), "<u4")
+    wide = np.zeros((int(n.sum()), 8), np.uint8)
+    wide[:, :CHECK] = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, CHECK)
+    check = wide.view("<u8").ravel()
     row = np.repeat(np.arange(len(key)), n)
     pos = (start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     doc, key = doc[row], key[row]
@@ -157,8 +162,9 @@ def repeated(rows: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
 
 
-def digest_of(words: list[bytes], start: int, n: int) -> bytes:
-    return hashlib.blake2b(b" ".join(words[start : start + n + K - 1]), digest_size=12).digest()
+def digest_of(words: list[bytes], start: int, n: int) -> bytes | None:
+    """A digest of the words of n windows, None where the text is shorter."""
+    return None if start + n + K - 1 > len(words) else hashlib.blake2b(b" ".join(words[start : start + n + K - 1]), digest_size=12).digest()
 
 
 def at_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +188,7 @@ def without_repeats(layout: bool):
                 words = whole.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for x in wanted or ():
-                    if digest_of(words, x["start"], x["n"]) == x["digest"]:
+                    if x["digest"] is not None and digest_of(words, x["start"], x["n"]) == x["digest"]:
                         gone[x["start"]] += 1
                         gone[x["start"] + x["n"] + K - 1] -= 1
                 left = np.cumsum(gone)[:-1] == 0
@@ -204,32 +210,42 @@ def without_repeats(layout: bool):
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> glued paths ``(doc, start, n, own_doc, own_start)``: n windows from word ``start`` on that also start at the source coordinate of a document with a smaller id."""
     found = docs.select("doc_id", "text").mapInArrow(chains, CHAIN).repartition("key").sortWithinPartitions("key").mapInArrow(settle, PATH)
+    several = cut(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return glued(found)
+    # Coordinates of ids with several readings don't say which one: their paths are not glued, each is verified by itself.
+    marked = found
+    for c in ("doc", "own_doc"):
+        marked = marked.join(several.select(F.col("doc_id").alias(f"of_{c}")), F.col(c) == F.col(f"of_{c}"), "left")
+    marked = cut(marked.withColumn("loose", F.col("of_doc").isNotNull() | F.col("of_own_doc").isNotNull()).drop("of_doc", "of_own_doc"), "paths")
+    return glued(marked.where("not loose").drop("loose")).unionByName(marked.where("loose").drop("loose").distinct())
+
+
+def glued(found: DataFrame) -> DataFrame:
+    """Paths that go on where the one before ends, in the reading and at the source, as one."""
     w = Window.partitionBy("doc").orderBy("start", "own_doc", "own_start")
     before = lambda c: F.lag(c).over(w)
     joined = (F.col("start") == before("start") + before("n")) & (F.col("own_doc") == before("own_doc")) & (F.col("own_start") == before("own_start") + before("n"))
-    glued = found.withColumn("opens", F.when(joined, 0).otherwise(1)).withColumn("path", F.sum("opens").over(w))
-    return glued.groupBy("doc", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("own_doc").alias("own_doc"), F.min("own_start").alias("own_start")).drop("path")
+    runs_ = found.withColumn("opens", F.when(joined, 0).otherwise(1)).withColumn("path", F.sum("opens").over(w))
+    return runs_.groupBy("doc", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("own_doc").alias("own_doc"), F.min("own_start").alias("own_start")).drop("path")
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, columns keep, n_words, n_removed, kept_text)``, one row per input row.
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_words, n_removed, kept_text)``, one row per input row; columns ``keep`` of any names come back in a struct ``row``.
 
     A window of 13 consecutive words is repeated if it also starts in a document with a smaller doc_id; words that a repeated
     window covers go. Null and empty texts have no words. Rows that share a doc_id count as one document's readings, and each gets
-    its own row; a null doc_id takes no part and keeps its words. Other columns are not read. An empty table gives an empty one.
+    its own row and is judged by its own text; a null doc_id takes no part and keeps its words. Other columns are not read. An empty table gives an empty one.
     kept_text has one blank between words, or with ``layout`` the blanks and lines of the text, which then stays as it is if nothing goes.
     """
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    from sylvan.llm.shared import cut
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__{c}") for c in keep])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
     texts = rows.select("doc_id", "text")
     spans = cut(repeated_spans(texts.where("doc_id is not null")), "spans")
     sources = spans.groupBy(F.col("own_doc").alias("src")).agg(F.collect_set(F.struct("own_start", "n")).alias("wanted"))
     digests = texts.join(sources, texts.doc_id == sources.src).select("doc_id", "text", "wanted").mapInArrow(at_source, "own_doc long, own_start int, n int, digest binary")
     checked = spans.join(digests, ["own_doc", "own_start", "n"]).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "n", "digest")).alias("__spans"))
-    extra = [f"__{c}" for c in keep]
+    extra = ["row"] if keep else []
     schema = StructType([StructField("doc_id", LongType()), *[rows.schema[c] for c in extra], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
-    out = rows.join(checked, rows.doc_id == checked["__doc"], "left").select("doc_id", "text", "__spans", *extra).mapInArrow(without_repeats(layout), schema)
-    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in keep], "n_words", "n_removed", "kept_text")
+    return rows.join(checked, rows.doc_id == checked["__doc"], "left").select("doc_id", "text", "__spans", *extra).mapInArrow(without_repeats(layout), schema)
