@@ -33,8 +33,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(documents(spark, sf_dir), ["doc_id"])
-    read = media.inspect(stored, ["doc_id", "n_bytes"])
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.inspect(stored, ["doc_id", "n_bytes"])
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def parse_section(packet: np.ndarray, table: int) -> bytes:
     """The body of the section in a packet."""
     raw = packet.tobytes()
     at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-    at += 1 + raw[at]
+    at += 1 + raw[min(at, PACKET - 1)]
     length = int.from_bytes(raw[at + 1 : at + 3], "big") & 0xFFF
     whole = raw[at : at + 3 + length]
     if whole[0] != table or crc32_mpeg(whole):
@@ -130,21 +130,32 @@ def parse_section(packet: np.ndarray, table: int) -> bytes:
     return whole[8:-4]
 
 
+def first_of(packets: np.ndarray, pid: np.ndarray, wanted: int) -> np.ndarray:
+    found = np.flatnonzero(pid == wanted)
+    if not len(found):
+        raise ValueError(f"no packet of PID {wanted}")
+    return packets[found[0]]
+
+
 def read(media: bytes) -> dict:
     """Payload, timestamps, random-access points and counts of a transport stream; raises ValueError if it is damaged."""
-    if len(media) % PACKET:
+    if len(media) % PACKET or not media:
         raise ValueError("not whole packets")
     x = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (x[:, 0] != SYNC).any() or (x[:, 1] & 0x80).any():
         raise ValueError("sync byte or error bit")
     pid = (x[:, 1].astype(np.int32) & 0x1F) << 8 | x[:, 2]
-    pat = parse_section(x[np.flatnonzero(pid == PAT_PID)[0]], 0)
+    pat = parse_section(first_of(x, pid, PAT_PID), 0)
     programs = {int.from_bytes(pat[i : i + 2], "big"): int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(pat), 4)}
-    program, map_pid = next((n, p) for n, p in programs.items() if n)
-    pmt = parse_section(x[np.flatnonzero(pid == map_pid)[0]], 2)
+    program, map_pid = next(((n, p) for n, p in programs.items() if n), (0, -1))
+    pmt = parse_section(first_of(x, pid, map_pid), 2)
     at = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
+    if len(pmt) < at + 5:
+        raise ValueError("the program has no stream")
     kind, stream = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
     own = x[pid == stream]
+    if not len(own) or not own[0, 1] & 0x40:
+        raise ValueError("the stream has no packets or doesn't open with a start")
     with_data = (own[:, 3] & 0x10) > 0
     jumps = int((np.diff((own[with_data, 3] & 15).astype(np.int16)) % 16 != 1).sum())
     has_field = (own[:, 3] & 0x20) > 0
@@ -156,6 +167,8 @@ def read(media: bytes) -> dict:
     edge = np.r_[0, np.cumsum(PACKET - begin)]
     starts = edge[:-1][opens]
     ends = np.r_[starts[1:], edge[-1]]
+    if (starts + PES_HEAD > len(body)).any():
+        raise ValueError("an elementary packet without its header")
     heads = body[starts[:, None] + np.arange(PES_HEAD)].astype(np.int64)
     if jumps or (heads[:, :3] != (0, 0, 1)).any() or (heads[:, 4] << 8 | heads[:, 5] != ends - starts - 6).any():
         raise ValueError("lost packets or a broken elementary packet")
@@ -171,7 +184,7 @@ def padded(data: bytes) -> bytes:
 
 
 def store(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs with ``n_bytes`` and the ``media`` column, a transport stream of each text (null: empty)."""
+    """Columns ``keep`` of docs with ``n_bytes`` and the ``media`` column, a transport stream of each text (null: empty). One row per input row, so repeated rows repeat."""
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +197,14 @@ def store(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, StructType([*[docs.schema[c] for c in keep], StructField("n_bytes", LongType()), StructField("media", BinaryType())]))
 
 
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units long, timestamps array<long>, access_points array<long>"
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units long, timestamps array<long>, access_points array<long>, error string"
 
 
 def inspect(stored: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of a table with a ``media`` column, with what reading each stream back gives: digests, timestamps and random-access points.
 
     ``feature`` joins program, stream type and PID, packets, units, access points, last timestamp in seconds, and mean and entropy of
-    the payload's bytes. A null stream gives nulls; a damaged one raises.
+    the payload's bytes. A null stream gives nulls, a damaged one nulls and its ``error``. One row per input row, so repeated rows repeat; an empty table gives an empty one.
     """
     from pyspark.sql.types import StructType
 
@@ -200,15 +213,18 @@ def inspect(stored: DataFrame, keep: list[str]) -> DataFrame:
     def row(media: bytes | None) -> tuple:
         if media is None:
             return (None,) * len(names)
-        r = read(media)
+        try:
+            r = read(media)
+        except ValueError as e:
+            return (*(None,) * (len(names) - 1), str(e))
         p = r["payload"]
         share = np.bincount(np.frombuffer(p, np.uint8), minlength=256) / len(p)
         entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
         feature = f"program={r['program']};type={r['type']};pid={r['pid']};packets={r['packets']};units={len(r['pts'])};access={len(r['access'])};seconds={r['pts'][-1] / CLOCK:.2f};mean={share @ np.arange(256):.3f};entropy={entropy:.4f}"
-        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(r["pts"]), r["pts"], r["access"]
+        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(r["pts"]), r["pts"], r["access"], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
         for batch in batches:
             cols = list(zip(*(row(m.as_py()) for m in batch.column(0)))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*batch.schema.names[1:], *names])
