@@ -16,33 +16,43 @@ GRAMS = 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without letters go, and those far from every prototype if they have enough trigrams to tell."""
+    """Documents in a known language: those without letters (null and empty texts too) go, and those far from every prototype if they have enough trigrams to tell.
+
+    Rows are judged one by one: repeated rows and rows without an id fare as their texts do. An empty table gives an empty one.
+    """
     model = langid.train(docs.where(crc_mod("doc_id", 5) != 0))
-    found = langid.predict(docs, model, docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ((F.col("score") >= REJECT) | (F.col("n_grams") < GRAMS))).select(*docs.columns)
+    found = langid.predict(docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row")), model, ["row"])
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ((F.col("score") >= REJECT) | (F.col("n_grams") < GRAMS))).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each SimHash component, that with the smallest doc_id; null and empty texts are one component.
+
+    Of rows that share this id one stays. Rows without an id all stay. An empty table gives an empty one.
+    """
+    return simhash.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that a document with a smaller doc_id has; the others' texts stay as they are."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = substring.remove_repeats(docs, others, layout=True)
-    columns = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.withColumns(columns).select(*docs.columns)
+    """Texts without passages that a document with a smaller doc_id has; the others' texts stay as they are, a null one becomes empty.
+
+    Every row stays, if need be with an empty text; n_chars follows the text. Rows without an id lose nothing. An empty table gives an empty one.
+    """
+    found = substring.remove_repeats(docs, tuple(c for c in docs.columns if c != "text"), layout=True)
+    own = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the fitted rates say, so that domains' expected tokens meet the target weights."""
+    """Documents as often as the fitted rates say, so that domains' expected tokens meet the target weights.
+
+    Null and empty texts have a rate like any other. Rows that share an id get the largest of their rates; rows without an id stay once. An empty table gives an empty one.
+    """
     return mixing.dealt(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document."""
+    """Token counts and digests of every row's text; null and empty texts have none. An empty table gives an empty one."""
     return bpe.encode_decode(docs, tokenizer_path(), ["doc_id"])
 
 

@@ -168,8 +168,9 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET) -
 
 def dealt(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET) -> DataFrame:
     """Documents as often as their rate says: floor(rate), and once more with the chance of the rest, drawn from the id's hash. Rows without an id stay once."""
-    rates = mix(docs, labels, target).groupBy("doc_id").agg(F.max("rate").alias("__rate")).withColumnRenamed("doc_id", "__id")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    joined = docs.join(rates, docs.doc_id == F.col("__id"), "left")
-    copies = F.coalesce(F.floor(F.col("__rate") + draw), F.lit(1)).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    rates = mix(docs, labels, target).groupBy("doc_id").agg(F.max("rate").alias("rate")).withColumnRenamed("doc_id", "id")
+    draw = F.pmod(F.xxhash64("row.doc_id"), F.lit(1_000_000)) / 1_000_000
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(rates, F.col("row.doc_id").cast("long") == F.col("id"), "left")
+    copies = F.coalesce(F.floor(F.col("rate") + draw), F.lit(1)).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("row.*")

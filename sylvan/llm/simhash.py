@@ -232,3 +232,35 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     out = out.join(groups, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def representatives(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> the rows of docs that stay, one of each component: that with the smallest doc_id.
+
+    Rows without a doc_id stand in no component and all stay. Of rows that share the smallest doc_id one stays, the one with the smallest hash of
+    its text and then of all its columns' texts. Other columns, of any names, come back as they were.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    found = near_duplicates(docs, tau).where("doc_id is not null")
+    ids = cut(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("stays"), F.collect_set(F.when(F.col("kept"), F.col("fingerprint"))).alias("fps")).where("stays"), "representatives")
+    once = rows.join(ids.where("n = 1").select("doc_id"), F.col("id") == F.col("doc_id"), "left_semi").select("row")
+    out = rows.where("id is null").select("row").unionByName(once)
+    if not (several := ids.where("n > 1")).isEmpty():
+        again = rows.join(several.select("doc_id", "fps"), F.col("id") == F.col("doc_id")).select("id", "row", "fps")
+        told = fingerprinted(again)
+        order = F.struct(F.xxhash64("row.text"), F.xxhash64(F.to_json("row")))
+        out = out.unionByName(told.where(F.array_contains("fps", F.col("fingerprint"))).groupBy("id").agg(F.min_by("row", order).alias("row")).select("row"))
+    return out.select("row.*")
+
+
+def fingerprinted(rows: DataFrame) -> DataFrame:
+    """``rows(id, row, fps)`` with the ``fingerprint`` of ``row.text``."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = tx.raw(batch.column(0))
+            told = [f"{fingerprint(data[a:b].tobytes()):016x}" for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(told, pa.string())], names=[*batch.schema.names[1:], "fingerprint"])
+
+    return rows.select(F.col("row.text").cast("string").alias("text"), *rows.columns).mapInArrow(run, StructType([*rows.schema.fields, StructField("fingerprint", StringType())]))
