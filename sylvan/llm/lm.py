@@ -15,75 +15,32 @@ row per task and shard. A shard takes contexts of about ``MASS`` tokens; the suc
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from sylvan.llm import text as tx
 from sylvan.llm.eliasfano import EliasFano
+from sylvan.llm.files import get, put
 from sylvan.llm.shared import crc_mod, cut, fresh_path
 
 ORDER, DISCOUNT = 3, 0.75
 #: The token at a text's end, also the context at its start; a hash no word is likely to have.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 #: Distinct n-grams that a task sums up before it passes them on; tokens that follow the contexts of a shard, about; bytes of text for a shard of the vocabulary.
-HELD, MASS, BYTES = 1_500_000, 3_000_000, 48 << 20
+HELD, MASS, BYTES = 1_200_000, 2_000_000, 48 << 20
 #: Bytes of text, and of word ids, worked on at once.
-TEXTS, IDS = 3 << 20, 2 << 20
+TEXTS, IDS = 2 << 20, 1 << 20
 #: Probabilities are kept as so many steps a factor of two: the relative error is under 2**(1/2048) - 1, or 0.034 %.
 STEPS = 1024
 _models: dict[str, Model] = {}
 
 
-# files
-
-
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
-def put(path: str, arrays: list[np.ndarray]) -> None:
-    """Writes arrays to one file on any file system; a repeated task replaces it whole."""
-    import uuid
-
-    fs, name = filesystem(path)
-    fs.create_dir(os.path.dirname(name), recursive=True)
-    part = f"{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        head = np.array([len(arrays), *[len(a) for a in arrays], *[ord(a.dtype.char) for a in arrays]], np.int64)
-        out.write(head.tobytes())
-        for a in arrays:
-            out.write(np.ascontiguousarray(a).tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0"))
-    fs.move(part, name)
-
-
-def get(path: str) -> list[np.ndarray]:
-    """Arrays of such a file, memory-mapped: in place if it is on a mounted file system, else through an unlinked local copy."""
-    fs, name = filesystem(path)
-    if isinstance(fs, pafs.LocalFileSystem):
-        raw = np.memmap(name, np.uint8, "r")
-    else:
-        with tempfile.NamedTemporaryFile() as local, fs.open_input_stream(name) as source:
-            while chunk := source.read(16 << 20):
-                local.write(chunk)
-            local.flush()
-            raw = np.memmap(local.name, np.uint8, "r")
-    raw = raw.view(np.ndarray)
-    n = int(raw[:8].view(np.int64)[0])
-    head = raw[8 : 8 + 16 * n].view(np.int64)
-    out, at = [], 8 + 16 * n
-    for size, char in zip(head[:n].tolist(), head[n:].tolist()):
-        kind = np.dtype(chr(char))
-        out.append(raw[at : at + size * kind.itemsize].view(kind))
-        at += -(-size * kind.itemsize // 8) * 8
-    return out
+# probabilities and counts
 
 
 def code(p: np.ndarray) -> np.ndarray:
