@@ -153,12 +153,42 @@ def test_bpe(docs, empty):
 
 
 def test_bpe_joins():
+    """Any cuts, with the chunks' encodings known or not, give what the tokenizer gives for the whole text."""
     e, rng = bpe.encoder(tokenizer_path()), random.Random(2)
-    for _ in range(200):
-        text = "".join(rng.choice("abzA's09,.-éßİ́日<|>\n\t ") for _ in range(rng.randint(2, 300)))
+    for _ in range(300):
+        text = "".join(rng.choice("abzA's09,.-éßİ́日<|>\n\t  ") for _ in range(rng.randint(2, 300)))
         data = text.encode()
-        ids, _ = e.encode(data, sorted(rng.sample(range(1, len(data)), min(9, len(data) - 1))))
-        assert ids == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        cuts = sorted(rng.sample(range(1, len(data)), min(rng.randint(1, 9), len(data) - 1)))
+        known = [e.chunk(data[a:b]) if rng.random() < 0.5 else None for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        ids, back = e.encode(data, cuts, known)
+        want = e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids == np.array(want, "<u4").tobytes() and back == e.decode(want)
+
+
+def test_bpe_mends_joins_that_disagree(monkeypatch):
+    """Chunks whose first whole word is encoded wrongly are taken together with the next until the encodings agree."""
+    e = bpe.encoder(tokenizer_path())
+    data = b"one two three four five six seven eight nine ten"
+    cuts = [14, 30]
+    known = [e.chunk(data[a:b]) for a, b in zip([0, *cuts], [*cuts, len(data)])]
+    known[1] = (b"\1\0\0\0", b"x", *known[1][2:])
+    ids, _ = e.encode(data, cuts, known)
+    assert ids == np.array(e.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_bpe_encodes_shared_chunks_once(spark):
+    rng = random.Random(12)
+    prose = " ".join(rng.choice(["anst", "erthe", "shall", "né", "日本"]) + str(rng.randint(0, 99)) for _ in range(4000))
+    rows = [(i, t) for i, t in enumerate([prose, "begin " + prose, prose[:9000] + " other", "x" * 5000, None, ""])] + [(1, prose), (None, prose), (None, "zz " * 3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    store = bpe.shared_chunks(table, tokenizer_path(), "doc_id")
+    held = store.shard(0)
+    assert len(held[0]) > 20 and len(set(zip(held[0].tolist(), held[1].tolist()))) == len(held[0])
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    got = sorted((r.doc_id is None, r.doc_id, r.ids) for r in bpe.encode_decode(table, tokenizer_path(), ["doc_id"], digests=False).collect())
+    assert got == sorted((i is None, i, t.encode(x or "", add_special_tokens=False).ids) for i, x in rows)
 
 
 def test_media(docs):
