@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,24 +14,24 @@ from sylvan.operators.stylesheet import Stylesheet, pretty, serialize
 from sylvan.operators.tree import Context, build, evaluate, to_string
 from sylvan.plans.lift import evaluate as evaluate_xpath
 from sylvan.plans.lift import register_function, select, select_first
-from sylvan.plans.syntax import parse
+from sylvan.plans.syntax import USUAL, Limits, parse
 from sylvan.sources.relational import ELEMENT
 from sylvan.sources.shred import html_rows, shred, xml_rows
 
-__all__ = ["Transformer", "evaluate_xpath", "parse", "per_document", "pretty", "register_function", "select", "select_first", "shred"]
+__all__ = ["Limits", "Transformer", "evaluate_xpath", "parse", "per_document", "pretty", "register_function", "select", "select_first", "shred"]
 SCHEMA = "doc_id long, xml string, error string, messages array<string>"
 
 
 class Transformer:
     """Imports a stylesheet once and applies it to every row of a table of documents."""
 
-    def __init__(self, loader: Callable[[str, str | None], str] | None = None):
-        self.loader, self.text, self.uri = loader, None, None
+    def __init__(self, loader: Callable[[str, str | None], str] | None = None, limits: Limits = USUAL):
+        self.loader, self.limits, self.text, self.uri = loader, limits, None, None
         self.sheet: Stylesheet | None = None
         self.parameters: dict[str, object] = {}
 
     def import_stylesheet(self, xml: str, uri: str | None = None) -> Transformer:
-        self.sheet = Stylesheet(xml, self.loader, uri)
+        self.sheet = Stylesheet(xml, self.loader, uri, self.limits)
         self.text, self.uri = xml, uri
         return self
 
@@ -57,16 +59,17 @@ class Transformer:
         self.sheet, self.text = None, None
         self.parameters.clear()
 
-    def transform(self, docs: DataFrame, text: str = "xml", mode: str = "fragment", html: bool = False) -> DataFrame:
+    def transform(self, docs: DataFrame, text: str = "xml", mode: str = "fragment", html: bool = False, at: str | None = None) -> DataFrame:
         """``docs(doc_id, text column)`` -> ``(doc_id, xml, error, messages)``; works on streams too.
 
-        A document that can't be parsed or transformed has a null xml and its message; mode "document" asks for a single root element.
+        A document that can't be parsed or transformed, whatever the reason, has a null xml and its message; mode "document" asks for a single root element.
+        ``at`` is an expression whose first node is the source instead of the document.
         """
         if self.sheet is None:
             raise RuntimeError("no stylesheet is imported")
         if mode not in ("fragment", "document"):
             raise ValueError(f"unknown mode {mode}")
-        sheet, parameters = self.sheet, dict(self.parameters)
+        sheet, parameters, start = self.sheet, dict(self.parameters), at and parse(at, self.limits)
 
         def one(value: str | None) -> tuple:
             if value is None:
@@ -74,28 +77,44 @@ class Transformer:
             said: list[str] = []
             try:
                 top = build(html_rows(value) if html else xml_rows(value))
+                if start:
+                    found = evaluate(start, Context(top, namespaces=sheet.namespaces))
+                    if not isinstance(found, list) or not found:
+                        return None, "no node is the source", said
+                    top = found[0]
                 out, said = sheet.run(top, parameters)
                 if mode == "document" and sum(c.kind == ELEMENT for c in out.children) != 1:
                     return None, "the result has not one root element", said
                 return serialize(out, sheet.output), None, said
-            except (ValueError, RecursionError) as e:
-                return None, str(e) or type(e).__name__, said
+            except Exception as e:  # whatever a document meets is its own error, never the job's
+                return None, str(e) if isinstance(e, ValueError) and str(e) else f"{type(e).__name__}: {e}", said
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 cols = list(zip(*map(one, batch.column(1).to_pylist()))) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], ["doc_id", "xml", "error", "messages"])
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("xml")).mapInArrow(run, SCHEMA)
 
 
-def per_document(docs: DataFrame, expr: str, text: str = "xml", html: bool = False, variables: dict | None = None, namespaces: dict | None = None) -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to rows of about ``most`` bytes of text (column 1), one row at least, so that memory follows the slice."""
+    for batch in batches:
+        size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float)))
+        a = 0
+        while a < batch.num_rows or not batch.num_rows and a == 0:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right"))) if batch.num_rows else 1
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def per_document(docs: DataFrame, expr: str, text: str = "xml", html: bool = False, variables: dict | None = None, namespaces: dict | None = None, limits: Limits = USUAL) -> DataFrame:
     """``docs(doc_id, text column)`` -> ``(doc_id, value)``: an expression's string per document, without a node table."""
-    tree = parse(expr)
+    tree = parse(expr, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if v is None else to_string(evaluate(tree, Context(build(html_rows(v) if html else xml_rows(v)), variables=variables or {}, namespaces=namespaces or {}))) for v in batch.column(1).to_pylist()]
+            found = [None if v is None else to_string(evaluate(tree, Context(build(html_rows(v) if html else xml_rows(v)), variables=variables or {}, namespaces=namespaces or {}, most=limits.nodes))) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "value"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("xml")).mapInArrow(run, "doc_id long, value string")

@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from xml.parsers import expat
 
 from sylvan.functions.scalars import number_text
-from sylvan.operators.tree import BLANKS, FRAGMENT, Context, Node, ancestors, build, descendants, evaluate, holding, ordered, passes, renumber, siblings, to_boolean, to_number, to_string
-from sylvan.plans.syntax import Binary, Call, Path, Step, Test, parse
+from sylvan.operators.tree import BLANKS, FRAGMENT, Context, Node, ancestors, build, descendants, evaluate, holding, ordered, passes, renumber, to_boolean, to_number, to_string
+from sylvan.functions.collation import sort_key
+from sylvan.plans.syntax import USUAL, Binary, Call, Limits, Path, parse
 from sylvan.sources.relational import ATTRIBUTE, CDATA, COMMENT, DOCUMENT, ELEMENT, PI, TEXT
 from sylvan.sources.shred import VOID, html_rows, xml_rows
 
@@ -43,10 +44,13 @@ class Rule:
 
 @dataclass
 class Output:
+    """Settings of xsl:output. A declaration is written only where the stylesheet asks for one, as results are fragments."""
+
     method: str = "xml"
-    declaration: bool = True
+    declaration: bool = False
     indent: bool = False
     other: dict = field(default_factory=dict)
+    cdata: frozenset = frozenset()
 
 
 def namespaces_of(text: str) -> dict[str, str]:
@@ -109,11 +113,36 @@ def value_template(text: str) -> list:
     return out
 
 
+# Attributes without which an instruction or declaration means nothing.
+REQUIRED = {
+    "if": ("test",), "when": ("test",), "copy-of": ("select",), "call-template": ("name",), "element": ("name",), "attribute": ("name",), "processing-instruction": ("name",), "with-param": ("name",), "variable": ("name",),
+    "param": ("name",), "key": ("name", "match", "use"), "attribute-set": ("name",), "namespace-alias": ("stylesheet-prefix", "result-prefix"), "strip-space": ("elements",), "preserve-space": ("elements",), "include": ("href",), "import": ("href",),
+}
+
+
+def checked(n: Node) -> None:
+    """Raises unless xsl elements have the attributes they need; an element with the literal prefix xsl counts as one whatever its namespace."""
+    for x in [n, *descendants(n)]:
+        if x.kind == ELEMENT and x.name.startswith("xsl:"):
+            x.ns = XSL
+        if x.kind == ELEMENT and x.ns == XSL:
+            for a in x.attributes:
+                if a.name.startswith("xsl:"):
+                    a.ns = XSL
+            if missing := [a for a in REQUIRED.get(x.local, ()) if x.attribute(a) is None]:
+                raise StylesheetError(f"xsl:{x.local} needs {missing[0]}")
+            if x.local == "choose":
+                own = [c.local for c in x.children if c.kind == ELEMENT]
+                if "when" not in own or "otherwise" in own[:-1]:
+                    raise StylesheetError("xsl:choose needs an xsl:when, and xsl:otherwise comes last")
+
+
 class Stylesheet:
     INSTRUCTIONS = {"apply-templates", "apply-imports", "call-template", "value-of", "text", "element", "attribute", "if", "choose", "for-each", "copy", "copy-of", "variable", "param", "comment", "processing-instruction", "number", "message", "fallback"}
 
-    def __init__(self, text: str, loader: Callable[[str, str | None], str] | None = None, uri: str | None = None):
-        self.loader = loader
+    def __init__(self, text: str, loader: Callable[[str, str | None], str] | None = None, uri: str | None = None, limits: Limits = USUAL):
+        self.loader, self.limits = loader, limits
+        self.warnings: list[str] = []
         self.rules: list[Rule] = []
         self.named: dict[str, tuple[int, Node]] = {}
         self.globals: dict[str, tuple[int, Node]] = {}
@@ -134,6 +163,7 @@ class Stylesheet:
         top = build(xml_rows(text))
         root = next(c for c in top.children if c.kind == ELEMENT)
         self.namespaces |= namespaces_of(text)
+        checked(root)
         if root.ns != XSL:
             if not any(a.ns == XSL and a.local == "version" for a in root.attributes):
                 raise StylesheetError("neither a stylesheet nor a literal result element with xsl:version")
@@ -154,7 +184,9 @@ class Stylesheet:
         try:
             text = self.loader(href, uri)
             self.namespaces |= namespaces_of(text)
-            return next(c for c in build(xml_rows(text)).children if c.kind == ELEMENT), full, [*open_, full]
+            root = next(c for c in build(xml_rows(text)).children if c.kind == ELEMENT)
+            checked(root)
+            return root, full, [*open_, full]
         except (OSError, KeyError, ValueError) as e:
             raise StylesheetError(f"can't load {full}: {e}") from None
 
@@ -181,7 +213,7 @@ class Stylesheet:
     def declare(self, n: Node) -> None:
         match n.local:
             case "template":
-                for arm in arms(parse(n.attribute("match"))) if n.attribute("match") else []:
+                for arm in self.pattern(n.attribute("match")) if n.attribute("match") else []:
                     p = n.attribute("priority")
                     self.rules.append(Rule(arm, n, n.attribute("mode", ""), float(p) if p else default_priority(arm), self.precedence, len(self.rules)))
                 if n.attribute("name"):
@@ -189,8 +221,10 @@ class Stylesheet:
             case "variable" | "param":
                 self.globals[n.attribute("name")] = (self.precedence, n)
             case "output":
-                o = {a.name: a.value for a in n.attributes}
-                self.output = Output(o.get("method", self.output.method), o.get("omit-xml-declaration", "no") != "yes", o.get("indent") == "yes", self.output.other | o)
+                o = self.output.other | {a.name: a.value for a in n.attributes}
+                asked = "omit-xml-declaration" in o or "standalone" in o or "version" in o
+                cdata = self.output.cdata | frozenset(o.get("cdata-section-elements", "").split())
+                self.output = Output(o.get("method", "xml"), asked and o.get("omit-xml-declaration", "no") == "no", o.get("indent") == "yes", o, cdata)
             case "key":
                 self.keys.setdefault(n.attribute("name"), []).append((arms(parse(n.attribute("match"))), parse(n.attribute("use"))))
             case "decimal-format":
@@ -202,6 +236,14 @@ class Stylesheet:
             case "strip-space" | "preserve-space":
                 self.strip += [(name, n.local == "strip-space") for name in n.attribute("elements", "").split()]
 
+    def pattern(self, text: str) -> list:
+        """The arms of a pattern; one that can't be read matches nothing, and a warning says so."""
+        try:
+            return arms(parse(text, self.limits))
+        except ValueError as e:
+            self.warnings.append(f"pattern {text!r} matches nothing: {e}")
+            return []
+
     # running
 
     def run(self, top: Node, parameters: dict | None = None) -> tuple[Node, list[str]]:
@@ -225,21 +267,24 @@ class Run:
             if name in ("*", n.name) or name.endswith(":*") and n.name.startswith(name[:-1]):
                 drop = strips
         if drop:
-            n.children = [c for c in n.children if c.kind != TEXT or c.value.strip(BLANKS)]
+            n.children = [c for c in n.children if c.kind != TEXT or c.value.strip(BLANKS) or preserved(c)]
+            for i, c in enumerate(n.children):
+                c.at = i
         for c in n.children:
             self.stripped(c)
 
     def result(self) -> tuple[Node, list[str]]:
+        self.messages += self.sheet.warnings
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEEPEST))  # a template call takes up to a dozen frames
         out = Node(FRAGMENT)
         self.apply(self.context(self.top), [self.top], "", {}, out)
         return out, self.messages
 
     def context(self, n: Node, pos: int = 1, size: int = 1, variables=None) -> Context:
-        return Context(n, pos, size, self.values if variables is None else variables, self.sheet.namespaces, n, self)
+        return Context(n, pos, size, self.values if variables is None else variables, self.sheet.namespaces, n, self, self.sheet.limits.nodes)
 
     def eval(self, expr: str, ctx: Context):
-        return evaluate(parse(expr), ctx)
+        return evaluate(parse(expr, self.sheet.limits), ctx)
 
     def fill(self, text: str, ctx: Context) -> str:
         if "{" not in text and "}" not in text:
@@ -251,6 +296,13 @@ class Run:
     # rules
 
     def matches(self, arm, n: Node) -> bool:
+        """An error in a pattern's predicate counts as no match."""
+        try:
+            return self.matched(arm, n)
+        except ValueError:
+            return False
+
+    def matched(self, arm, n: Node) -> bool:
         if isinstance(arm, Path):
             if arm.start not in (None, "root"):
                 return any(m is n for m in evaluate(arm, self.context(self.top)))
@@ -305,7 +357,7 @@ class Run:
         ctx.variables = Scope(scope)
         for n in parent.children:
             if n.kind in (TEXT, CDATA):
-                if n.value.strip(BLANKS) or any(a.attribute("xml:space") == "preserve" for a in [parent, *ancestors(parent)]):
+                if n.value.strip(BLANKS) or preserved(n):
                     self.text(out, n.value)
             elif n.kind == ELEMENT:
                 self.instruction(n, ctx, out) if n.ns == XSL else self.literal(n, ctx, out)
@@ -383,7 +435,8 @@ class Run:
             if self.fill(s.attribute("data-type", "text"), ctx) == "number":
                 keyed = [leading(v) for v in values]
             else:
-                keyed = [v.upper() for v in values]
+                lower = self.fill(s.attribute("case-order", "upper-first"), ctx) == "lower-first"
+                keyed = [sort_key(v.lower() if lower else v.upper()) for v in values]
             order = sorted(range(len(found)), key=keyed.__getitem__, reverse=self.fill(s.attribute("order", "ascending"), ctx) == "descending")
             if self.fill(s.attribute("order", "ascending"), ctx) == "descending":  # ties stay in their order
                 order = sorted(range(len(found) - 1, -1, -1), key=keyed.__getitem__)[::-1]
@@ -503,7 +556,7 @@ class Run:
                 break
             chain.append(a)
         level = n.attribute("level", "single")
-        place = lambda y: 1 + sum(counts(z) for z in siblings(y)[: siblings(y).index(y)]) if siblings(y) else 1
+        place = lambda y: self.before(y, n, counts)
         if level == "any":
             begin = max((y.pre for y in [self.top, *descendants(self.top)] if y.pre < x.pre and any(self.matches(p, y) for p in stop)), default=-1)
             numbers = [sum(counts(y) for y in descendants(self.top) if begin < y.pre <= x.pre)]
@@ -513,6 +566,19 @@ class Run:
             numbers = [place(y) for y in chain if counts(y)][:1]
         return self.formatted(numbers, form)
 
+    def before(self, y: Node, n: Node, counts) -> int:
+        """One more than the siblings before y that count; worked out once for all children of a parent."""
+        if y.parent is None or y.kind == ATTRIBUTE:
+            return 1
+        key = ("number", id(n), id(y.parent), y.name if n.attribute("count") is None else None)
+        if key not in self.indexes:
+            seen, out = 1, []
+            for z in y.parent.children:
+                out.append(seen)
+                seen += counts(z)
+            self.indexes[key] = out
+        return self.indexes[key][y.at]
+
     def formatted(self, numbers: list[int], form: str) -> str:
         forms, between = re.findall(r"\w+", form) or ["1"], re.split(r"\w+", form)
         out = between[0]
@@ -636,21 +702,39 @@ def format_number(x: float, pattern: str, named: dict) -> str:
     return lead + head + (shown or sign["zero-digit"]) + tail
 
 
+def preserved(n: Node) -> bool:
+    """Whether xml:space says that the white space here stays."""
+    return next((a.attribute("xml:space") for a in ancestors(n) if a.attribute("xml:space") is not None), "") == "preserve"
+
+
 def serialize(top: Node, output: Output) -> str:
-    """The fragment as text, by the output method."""
+    """The fragment as text, by the output settings. Letters that the encoding lacks become character references."""
     if output.method == "text":
         return top.text()
     html, out = output.method == "html", []
+    declared_type = [False]
+
+    def doctype(n: Node) -> None:
+        public, system = output.other.get("doctype-public"), output.other.get("doctype-system")
+        if declared_type[0] or not (system or public and html):
+            return
+        declared_type[0] = True
+        out.append(f"<!DOCTYPE {n.name}" + (f' PUBLIC "{public}"' if public else " SYSTEM") + (f' "{system}"' if system else "") + ">" + ("\n" if output.indent else ""))
 
-    def write(n: Node, known: dict) -> None:
+    def write(n: Node, known: dict, deep: int) -> None:
         if n.kind in (TEXT, CDATA):
             raw = n.raw or html and n.parent is not None and n.parent.name.lower() in ("script", "style")
-            out.append(n.value if raw else n.value.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+            if not html and n.parent is not None and n.parent.name in output.cdata:
+                out.append("<![CDATA[" + n.value.replace("]]>", "]]]]><![CDATA[>") + "]]>")
+            else:
+                out.append(n.value if raw else n.value.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
         elif n.kind == COMMENT:
             out.append(f"<!--{n.value}-->")
         elif n.kind == PI:
             out.append(f"<?{n.name} {n.value}{'>' if html else '?>'}" if n.value else f"<?{n.name}{'>' if html else '?>'}")
         elif n.kind == ELEMENT:
+            if not deep:
+                doctype(n)
             own = dict(known)
             declared = []
             for x in [n, *n.attributes]:
@@ -664,15 +748,33 @@ def serialize(top: Node, output: Output) -> str:
                 out.append(f"<{n.name}{shown}>" if html else f"<{n.name}{shown}/>")
                 return
             out.append(f"<{n.name}{shown}>")
-            for c in n.children:
-                write(c, own)
+            inside(n, own, deep + 1)
             out.append(f"</{n.name}>")
         else:
-            for c in n.children:
-                write(c, known)
-
-    write(top, {})
-    return "".join(out)
+            inside(n, known, deep)
+
+    def inside(n: Node, known: dict, deep: int) -> None:
+        """Children; on lines of their own if indenting is asked for and none of them is text."""
+        apart = output.indent and not any(c.kind in (TEXT, CDATA) for c in n.children)
+        for i, c in enumerate(n.children):
+            if apart and (deep or i):
+                out.append("\n" + "  " * deep)
+            write(c, known, deep)
+        if apart and deep and n.children:
+            out.append("\n" + "  " * (deep - 1))
+
+    write(top, {}, 0)
+    text = "".join(out)
+    encoding = output.other.get("encoding", "UTF-8")
+    if encoding.upper() not in ("UTF-8", "UTF-16"):
+        try:
+            text = text.encode(encoding, "xmlcharrefreplace").decode(encoding)
+        except LookupError:
+            raise StylesheetError(f"unknown encoding {encoding}") from None
+    if output.declaration and not html:
+        alone = f' standalone="{output.other["standalone"]}"' if "standalone" in output.other else ""
+        text = f'<?xml version="{output.other.get("version", "1.0")}" encoding="{encoding}"{alone}?>' + ("\n" if output.indent else "") + text
+    return text
 
 
 def escaped(value: str) -> str:
