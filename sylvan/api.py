@@ -7,18 +7,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from sylvan.operators.stylesheet import Stylesheet, pretty, serialize
 from sylvan.operators.tree import Context, build, evaluate, to_string
 from sylvan.plans.lift import evaluate as evaluate_xpath
-from sylvan.plans.lift import register_function, select, select_first
+from sylvan.plans.lift import SCALARS, register_function, select, select_first
 from sylvan.plans.syntax import USUAL, Limits, parse
 from sylvan.sources.relational import ELEMENT
 from sylvan.sources.shred import html_rows, shred, xml_rows
 
-__all__ = ["Limits", "Transformer", "evaluate_xpath", "parse", "per_document", "pretty", "register_function", "select", "select_first", "shred"]
+__all__ = ["Limits", "Transformer", "evaluate_xpath", "parse", "per_document", "pretty", "register_function", "register_sql", "select", "select_first", "shred"]
 SCHEMA = "doc_id long, xml string, error string, messages array<string>"
 
 
@@ -59,16 +60,17 @@ class Transformer:
         self.sheet, self.text = None, None
         self.parameters.clear()
 
-    def transform(self, docs: DataFrame, text: str = "xml", mode: str = "fragment", html: bool = False, at: str | None = None) -> DataFrame:
+    def transform(self, docs: DataFrame, text: str = "xml", mode: str = "fragment", html: bool = False, at: str | None = None, indented: bool = False) -> DataFrame:
         """``docs(doc_id, text column)`` -> ``(doc_id, xml, error, messages)``; works on streams too.
 
         A document that can't be parsed or transformed, whatever the reason, has a null xml and its message; mode "document" asks for a single root element.
-        ``at`` is an expression whose first node is the source instead of the document.
+        ``at`` is an expression whose first node is the source instead of the document; ``indented`` puts each tag on a line of its own.
         """
         if self.sheet is None:
             raise RuntimeError("no stylesheet is imported")
         if mode not in ("fragment", "document"):
             raise ValueError(f"unknown mode {mode}")
+        self.sheet.functions = dict(SCALARS)
         sheet, parameters, start = self.sheet, dict(self.parameters), at and parse(at, self.limits)
 
         def one(value: str | None) -> tuple:
@@ -85,7 +87,8 @@ class Transformer:
                 out, said = sheet.run(top, parameters)
                 if mode == "document" and sum(c.kind == ELEMENT for c in out.children) != 1:
                     return None, "the result has not one root element", said
-                return serialize(out, sheet.output), None, said
+                shown = serialize(out, sheet.output)
+                return pretty(shown) if indented else shown, None, said
             except Exception as e:  # whatever a document meets is its own error, never the job's
                 return None, str(e) if isinstance(e, ValueError) and str(e) else f"{type(e).__name__}: {e}", said
 
@@ -118,3 +121,19 @@ def per_document(docs: DataFrame, expr: str, text: str = "xml", html: bool = Fal
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "value"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("xml")).mapInArrow(run, "doc_id long, value string")
+
+
+class XPathRows:
+    """``xpath_eval(xml, expr)`` in SQL: the nodes of an expression in document order, or its one value."""
+
+    def eval(self, xml: str, expr: str):
+        if xml is None or expr is None:
+            return
+        found = evaluate(parse(expr), Context(build(xml_rows(xml))))
+        for i, x in enumerate(found if isinstance(found, list) else [found], 1):
+            yield i, x.name if isinstance(found, list) else None, x.text() if isinstance(found, list) else to_string(x)
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Makes ``xpath_eval`` callable as a table function in SQL."""
+    spark.udtf.register("xpath_eval", udtf(XPathRows, returnType="ord long, name string, value string", useArrow=True))

@@ -143,6 +143,7 @@ class Stylesheet:
     def __init__(self, text: str, loader: Callable[[str, str | None], str] | None = None, uri: str | None = None, limits: Limits = USUAL):
         self.loader, self.limits = loader, limits
         self.warnings: list[str] = []
+        self.functions: dict[str, Callable[..., str]] = {}
         self.rules: list[Rule] = []
         self.named: dict[str, tuple[int, Node]] = {}
         self.globals: dict[str, tuple[int, Node]] = {}

@@ -22,11 +22,17 @@ Value = tuple[DataFrame, Column, str]
 REGISTERED: dict[str, Callable[..., Column]] = {}
 
 
-def register_function(name: str, builder: Callable[..., Column]) -> None:
-    """Makes ``name(...)`` callable in expressions; builder gets string columns and returns one."""
+#: The same for stylesheets, which run document by document: strings -> a string.
+SCALARS: dict[str, Callable[..., str]] = {}
+
+
+def register_function(name: str, builder: Callable[..., Column], scalar: Callable[..., str] | None = None) -> None:
+    """Makes ``name(...)`` callable in expressions; builder gets string columns and returns one. ``scalar`` does the same for strings, for stylesheets."""
     from sylvan.plans.syntax import RESULTS
 
     REGISTERED[name] = builder
+    if scalar:
+        SCALARS[name] = scalar
     RESULTS["string"].add(name)
 
 
