@@ -15,11 +15,12 @@ from sylvan.operators.stylesheet import Stylesheet, pretty, serialize
 from sylvan.operators.tree import Context, build, evaluate, to_string
 from sylvan.plans.lift import evaluate as evaluate_xpath
 from sylvan.plans.lift import SCALARS, register_function, select, select_first
+from sylvan.plans.publish import Shape, Unsupported, publish, written
 from sylvan.plans.syntax import USUAL, Limits, parse
 from sylvan.sources.relational import ELEMENT
 from sylvan.sources.shred import html_rows, shred, xml_rows
 
-__all__ = ["Limits", "Transformer", "evaluate_xpath", "parse", "per_document", "pretty", "register_function", "register_sql", "select", "select_first", "shred"]
+__all__ = ["Limits", "Shape", "Transformer", "Unsupported", "evaluate_xpath", "parse", "per_document", "pretty", "register_function", "register_sql", "select", "select_first", "shred"]
 SCHEMA = "doc_id long, xml string, error string, messages array<string>"
 
 
@@ -60,16 +61,27 @@ class Transformer:
         self.sheet, self.text = None, None
         self.parameters.clear()
 
-    def transform(self, docs: DataFrame, text: str = "xml", mode: str = "fragment", html: bool = False, at: str | None = None, indented: bool = False) -> DataFrame:
+    def transform(self, docs: DataFrame | Shape, text: str = "xml", mode: str = "fragment", html: bool = False, at: str | None = None, indented: bool = False, tier: str | None = None) -> DataFrame:
         """``docs(doc_id, text column)`` -> ``(doc_id, xml, error, messages)``; works on streams too.
 
         A document that can't be parsed or transformed, whatever the reason, has a null xml and its message; mode "document" asks for a single root element.
         ``at`` is an expression whose first node is the source instead of the document; ``indented`` puts each tag on a line of its own.
+
+        A ``Shape`` (tables as documents) is transformed by one plan without Python if the stylesheet allows it, else it is written as text first. ``tier``
+        "plan" insists on the plan (and raises Unsupported), "document" on the other way.
         """
         if self.sheet is None:
             raise RuntimeError("no stylesheet is imported")
         if mode not in ("fragment", "document"):
             raise ValueError(f"unknown mode {mode}")
+        if isinstance(docs, Shape):
+            if tier != "document" and mode == "fragment" and not at and not indented:
+                try:
+                    return publish(docs, self.sheet, self.parameters)
+                except Unsupported:
+                    if tier == "plan":
+                        raise
+            docs, text, html = written(docs), "xml", False
         self.sheet.functions = dict(SCALARS)
         sheet, parameters, start = self.sheet, dict(self.parameters), at and parse(at, self.limits)
 

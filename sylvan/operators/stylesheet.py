@@ -21,6 +21,7 @@ from sylvan.sources.shred import VOID, html_rows, xml_rows
 
 XSL = "http://www.w3.org/1999/XSL/Transform"
 DEEPEST = 400
+ELEMENT_NAME = r"[^\s<>&\"'=/]+"
 ABSOLUTE = re.compile(r"https?://|/")
 
 
@@ -485,7 +486,7 @@ class Run:
             case "element":
                 name = self.fill(n.attribute("name", ""), ctx)
                 ns = self.fill(n.attribute("namespace"), ctx) if n.attribute("namespace") is not None else self.sheet.namespaces.get(name.rpartition(":")[0], "")
-                if not re.fullmatch(r"[^\s<>&\"'=/]+", name):
+                if not re.fullmatch(ELEMENT_NAME, name):
                     raise StylesheetError(f"{name!r} is no element name")
                 made = out.add(Node(ELEMENT, name, name.rpartition(":")[2], ns))
                 self.use_sets(n.attribute("use-attribute-sets"), ctx, made)

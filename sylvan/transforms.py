@@ -1,25 +1,22 @@
-"""Registered stylesheet queries: orders as XML text, transformed per document, each with its SQL twin."""
+"""Registered stylesheet queries over orders, by plans where the stylesheet allows it, each with its SQL twin."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.api import Transformer
+from sylvan.api import Shape, Transformer
 from sylvan.queries import LI, add
-from sylvan.sources.relational import decimal
+from sylvan.sources.relational import decimal, text
 
 XSL = '<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform">'
 
 
-def order_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_shape(spark: SparkSession, sf_dir: str) -> Shape:
     """One document per order: order(@id @status @total)/lineitem(@n @part @qty @flag)*, in the order tree's order."""
     o, li = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
-    item = F.concat(F.lit('<lineitem n="'), F.col("l_linenumber").cast("string"), F.lit('" part="'), F.col("l_partkey").cast("string"), F.lit('" qty="'), decimal(F.col("l_quantity")), F.lit('" flag="'), "l_returnflag", F.lit('"/>'))
-    lines = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", item.alias("x")))), lambda r: r["x"]), "").alias("items"))
-    head = F.concat(F.lit('<order id="'), F.col("o_orderkey").cast("string"), F.lit('" status="'), "o_orderstatus", F.lit('" total="'), decimal(F.col("o_totalprice")), F.lit('">'))
-    joined = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
-    return joined.select(F.col("o_orderkey").alias("doc_id"), F.concat(head, F.coalesce("items", F.lit("")), F.lit("</order>")).alias("xml"))
+    lines = Shape(li.withColumnRenamed("l_orderkey", "doc_id"), "lineitem", [("n", text(F.col("l_linenumber"))), ("part", text(F.col("l_partkey"))), ("qty", decimal(F.col("l_quantity"))), ("flag", F.col("l_returnflag"))], ["doc_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    return Shape(o.withColumnRenamed("o_orderkey", "doc_id"), "order", [("id", text(F.col("doc_id"))), ("status", F.col("o_orderstatus")), ("total", decimal(F.col("o_totalprice")))], ["doc_id"], children=[lines])
 
 
 def sheet(name: str, body: str, sql: str, params: dict | None = None, library: dict[str, str] | None = None) -> None:
@@ -29,7 +26,7 @@ def sheet(name: str, body: str, sql: str, params: dict | None = None, library: d
         t = Transformer(loader=(lambda href, base: XSL + library[href] + "</xsl:stylesheet>") if library else None).import_stylesheet(XSL + body + "</xsl:stylesheet>")
         for k, v in (params or {}).items():
             t.set_parameter(None, k, v)
-        return t.transform(order_xml(spark, sf_dir)).select("doc_id", F.coalesce("xml", "error").alias("value"))
+        return t.transform(order_shape(spark, sf_dir)).select("doc_id", F.coalesce("xml", "error").alias("value"))
 
     add(name, run, f"WITH {LI} SELECT o_orderkey AS doc_id, {sql} AS value FROM orders LEFT JOIN li ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_totalprice")
 
