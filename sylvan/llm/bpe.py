@@ -31,7 +31,7 @@ from sylvan.llm.shared import cut, fresh_path
 
 WINDOW, SPREAD = 16, 512
 #: Entries after which a worker's cache of pre-tokens or words starts anew, and chunks in a shard of the store, about.
-PIECES, WORDS, SHARD = 250_000, 50_000, 200_000
+PIECES, WORDS, SHARD = 250_000, 50_000, 20_000
 #: Texts of these letters need no normaliser but lower-casing, and no splitter but this one; all others go through the whole tokenizer.
 PLAIN = re.compile("[ \t\n\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\ra-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
