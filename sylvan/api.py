@@ -96,7 +96,7 @@ class Transformer:
                     if not isinstance(found, list) or not found:
                         return None, "no node is the source", said
                     top = found[0]
-                out, said = sheet.run(top, parameters)
+                out, _ = sheet.run(top, parameters, said)
                 if mode == "document" and sum(c.kind == ELEMENT for c in out.children) != 1:
                     return None, "the result has not one root element", said
                 shown = serialize(out, sheet.output)

@@ -248,16 +248,16 @@ class Stylesheet:
 
     # running
 
-    def run(self, top: Node, parameters: dict | None = None) -> tuple[Node, list[str]]:
-        """The result fragment of one document, and its messages."""
-        return Run(self, top, parameters or {}).result()
+    def run(self, top: Node, parameters: dict | None = None, said: list[str] | None = None) -> tuple[Node, list[str]]:
+        """The result fragment of one document, and its messages, which go to ``said`` as they come."""
+        return Run(self, top, parameters or {}, said).result()
 
 
 class Run:
-    def __init__(self, sheet: Stylesheet, top: Node, parameters: dict):
+    def __init__(self, sheet: Stylesheet, top: Node, parameters: dict, said: list[str] | None = None):
         self.sheet, self.top, self.parameters = sheet, top, parameters
         self.INSTRUCTIONS = sheet.INSTRUCTIONS
-        self.messages: list[str] = []
+        self.messages: list[str] = [] if said is None else said
         self.depth, self.indexes, self.values, self.pending = 0, {}, Globals(self), set()
         if sheet.strip:
             self.stripped(top)
