@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.plans.syntax import Step, Test
-from sylvan.sources.relational import ATTRIBUTE, CDATA, COLUMNS, COMMENT, ELEMENT, PI, TEXT, Forest
+from sylvan.sources.relational import ATTRIBUTE, CDATA, COMMENT, ELEMENT, PI, TEXT, Forest, columns_of
 
 REVERSE = {"ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
 #: Axes that give no node twice, for distinct contexts of one document.
@@ -67,10 +67,28 @@ def candidates(forest: Forest, s: Step) -> DataFrame:
 def step(forest: Forest, context: DataFrame, s: Step, namespaces: dict[str, str]) -> DataFrame:
     """``context(iter, node columns)`` -> ``(iter, c_pre, node columns)``: the step's candidates before its predicates."""
     test = matches(s.axis, s.test, namespaces)
+    if s.axis == "attribute" and s.test.kind == "name" and s.test.prefix is None and f"@{s.test.local}" in context.columns:
+        return brought(context, s.test.local)
     if s.axis == "self":
-        return context.where(test).select("iter", F.col("pre").alias("c_pre"), *COLUMNS)
+        return context.where(test).select("iter", F.col("pre").alias("c_pre"), *columns_of(context))
     if s.axis == "namespace":
-        return context.where(F.lit(False)).select("iter", F.col("pre").alias("c_pre"), *COLUMNS)
+        return context.where(F.lit(False)).select("iter", F.col("pre").alias("c_pre"), *columns_of(context))
     own, related = reaches(s.axis)
     left = context.select("iter", F.col("doc_id").alias("c_doc"), *[F.col(c).alias(f"c_{c}") for c in ("pre", "last", "parent", "sib")])
-    return left.join(candidates(forest, s).where(own & test), (F.col("doc_id") == F.col("c_doc")) & related).select("iter", "c_pre", *COLUMNS)
+    right = candidates(forest, s).where(own & test)
+    return left.join(right, (F.col("doc_id") == F.col("c_doc")) & related).select("iter", "c_pre", *columns_of(right))
+
+
+def brought(context: DataFrame, name: str) -> DataFrame:
+    """The attribute step where elements bring the attribute along: a projection."""
+    at, value = F.col(f"@{name}#"), F.col(f"@{name}")
+    made = {"doc_id": F.col("doc_id"), "pre": at, "last": at, "parent": F.col("pre"), "level": (F.col("level") + 1).cast("int"), "kind": F.lit(ATTRIBUTE).cast("tinyint"), "sib": F.lit(None).cast("int"), "name": F.lit(name), "local": F.lit(name), "ns": F.lit(""), "value": value, "ts": F.lit(0), "te": F.lit(0)}
+    return context.where(at.isNotNull()).select("iter", F.col("pre").alias("c_pre"), *[c.alias(k) for k, c in made.items()])
+
+
+def from_roots(forest: Forest, s: Step, namespaces: dict[str, str]) -> DataFrame:
+    """A child or descendant step from the roots of all documents of a rooted forest: no join, as every node is below its root."""
+    own, _ = reaches(s.axis)
+    near = F.col("parent") == 0 if s.axis == "child" else F.col("pre") > 0
+    found = candidates(forest, s).where(own & matches(s.axis, s.test, namespaces) & near)
+    return found.select(F.col("doc_id").alias("iter"), F.lit(0).alias("c_pre"), *columns_of(found))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sylvan.functions import scalars as sc
 from sylvan.operators import axes
-from sylvan.plans.syntax import Binary, Call, Filter, Literal, Number, Path, Step, Test, Unary, Variable, XPathError, calls, parse, positional, simplified, type_of
-from sylvan.sources.relational import ATTRIBUTE, COLUMNS, DOCUMENT, ELEMENT, Forest
+from sylvan.plans.syntax import USUAL, Binary, Call, Filter, Limits, Literal, Number, Path, Step, Test, Unary, Variable, XPathError, attribute_names, calls, parse, positional, simplified, type_of
+from sylvan.sources.relational import ATTRIBUTE, COLUMNS, DOCUMENT, ELEMENT, Forest, columns_of
 
 Value = tuple[DataFrame, Column, str]
 #: Functions registered by the user: columns of the arguments as strings -> a string column.
@@ -37,8 +37,10 @@ def register_function(name: str, builder: Callable[..., Column], scalar: Callabl
 
 
 class Lifter:
-    def __init__(self, forest: Forest, variables: dict | None = None, namespaces: dict[str, str] | None = None):
-        self.forest = forest
+    def __init__(self, forest: Forest, variables: dict | None = None, namespaces: dict[str, str] | None = None, whole: bool = False, limits: Limits = USUAL):
+        self.forest, self.limits = forest, limits
+        #: Whether the contexts at hand are the roots of all documents.
+        self.whole = whole
         self.variables, self.namespaces = variables or {}, {"xml": "http://www.w3.org/XML/1998/namespace"} | (namespaces or {})
         self.fresh = (f"_{n}" for n in itertools.count())
 
@@ -50,7 +52,8 @@ class Lifter:
                 for side in (a, b):
                     if type_of(side, self.variables) != "nodes":
                         raise XPathError("| joins node-sets only")
-                return self.nodeset(context, a).unionByName(self.nodeset(context, b)).dropDuplicates(["iter", "doc_id", "pre"])
+                left, right = (self.nodeset(context, side).select("iter", *COLUMNS) for side in (a, b))
+                return left.unionByName(right).dropDuplicates(["iter", "doc_id", "pre"])
             case Path(start, steps):
                 return self.path(context, start, simplified(steps, self.variables))
             case Filter(primary, predicates):
@@ -64,15 +67,29 @@ class Lifter:
 
     def path(self, context: DataFrame, start, steps: tuple) -> DataFrame:
         one = False
+        if start == "root" and steps and self.whole and self.forest.rooted and steps[0].axis in ("child", "descendant") and steps[0].test.kind == "name":
+            now = self.filtered(axes.from_roots(self.forest, steps[0], self.namespaces), steps[0].predicates, False).drop("c_pre")
+            return self.limited(self.stepped(now, steps[1:], False, steps[0].axis == "descendant"))
         if start == "root":
             at = context.select("iter", F.col("doc_id").alias("c_doc"))
-            now = at.join(self.forest.narrowed((DOCUMENT,), None).where(F.col("pre") == 0), F.col("doc_id") == F.col("c_doc")).select("iter", *COLUMNS)
-            one = True
+            now = at.join(self.forest.narrowed((DOCUMENT,), None).where(F.col("pre") == 0), F.col("doc_id") == F.col("c_doc"))
+            now, one = now.select("iter", *columns_of(now)), True
         elif start is None:
-            now, one = context.select("iter", *COLUMNS), True
+            now, one = context.select("iter", *columns_of(context)), True
         else:
             now = self.nodeset(context, start)
-        nested = not one
+        return self.limited(self.stepped(now, steps, one, not one))
+
+    def limited(self, found: DataFrame) -> DataFrame:
+        """Raises where a path gives a context more nodes than the limit."""
+        if self.limits.nodes is None:
+            return found
+        n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "iter"))
+        told = F.raise_error(F.lit(f"a path gives more than {self.limits.nodes} nodes")).cast("boolean")
+        return found.withColumn("__n", n).where(F.when(F.col("__n") > self.limits.nodes, told).otherwise(True)).drop("__n")
+
+    def stepped(self, now: DataFrame, steps: tuple, one: bool, nested: bool) -> DataFrame:
+        """The steps of a path; one: there is one node per context; nested: a node may stand inside another."""
         for s in steps:
             if s.axis in ("following", "preceding") and not any(positional(p, self.variables) for p in s.predicates) and nested:
                 now = self.pruned(now, s.axis)
@@ -88,10 +105,18 @@ class Lifter:
 
     def pruned(self, now: DataFrame, axis: str) -> DataFrame:
         """following:: of many contexts is that of the one that ends first, preceding:: that of the one that begins last."""
-        kept = F.min_by(F.struct(*COLUMNS), "last") if axis == "following" else F.max_by(F.struct(*COLUMNS), "pre")
+        columns = columns_of(now)
+        kept = F.min_by(F.struct(*columns), "last") if axis == "following" else F.max_by(F.struct(*columns), "pre")
         return now.groupBy("doc_id", "iter").agg(kept.alias("n")).select("iter", "n.*")
 
     def filtered(self, found: DataFrame, predicates: tuple, backwards: bool) -> DataFrame:
+        whole, self.whole = self.whole, False
+        try:
+            return self.holding(found, predicates, backwards)
+        finally:
+            self.whole = whole
+
+    def holding(self, found: DataFrame, predicates: tuple, backwards: bool) -> DataFrame:
         for p in predicates:
             rows = found
             if positional(p, self.variables):
@@ -110,11 +135,20 @@ class Lifter:
                 rows = rows.where(F.col("pos") == value)
             else:
                 rows = self.where(rows, p)
-            found = rows.select(F.col(outer).alias("iter"), "c_pre", *COLUMNS)
+            found = rows.select(F.col(outer).alias("iter"), "c_pre", *columns_of(rows))
         return found
 
+    def own(self, rows: DataFrame, tree) -> Column | None:
+        """The value (null: not there) of an attribute of the context that its row brings along."""
+        match tree:
+            case Path(None, (Step("attribute", Test("name", name, None), ()),)) if f"@{name}" in rows.columns:
+                return F.when(F.col(f"@{name}#").isNotNull(), F.coalesce(F.col(f"@{name}"), F.lit("")))
+        return None
+
     def where(self, rows: DataFrame, p, keep: bool = True) -> DataFrame:
-        """Rows for which a predicate holds (or doesn't): existence becomes a semi or anti join."""
+        """Rows for which a predicate holds (or doesn't): existence becomes a semi or anti join, unless the row itself can tell."""
+        if (own := self.own(rows, p)) is not None:
+            return rows.where(own.isNotNull() if keep else own.isNull())
         match p:
             case Binary("and", a, b) if keep:
                 return self.where(self.where(rows, a), b)
@@ -122,9 +156,9 @@ class Lifter:
                 return self.where(rows, a, not keep)
             case Call("boolean", (a,)):
                 return self.where(rows, a, keep)
-            case Binary("=" | "<" | "<=" | ">" | ">=" as op, a, b) if self.constant(b) and type_of(a, self.variables) == "nodes" and type_of(b, self.variables) != "boolean":
+            case Binary("=" | "<" | "<=" | ">" | ">=" as op, a, b) if self.constant(b) and self.own(rows, a) is None and type_of(a, self.variables) == "nodes" and type_of(b, self.variables) != "boolean":
                 return self.semi(rows, self.comparing(rows, op, a, b, False), keep)
-            case Binary("=" | "<" | "<=" | ">" | ">=" as op, a, b) if self.constant(a) and type_of(b, self.variables) == "nodes" and type_of(a, self.variables) != "boolean":
+            case Binary("=" | "<" | "<=" | ">" | ">=" as op, a, b) if self.constant(a) and self.own(rows, b) is None and type_of(b, self.variables) == "nodes" and type_of(a, self.variables) != "boolean":
                 return self.semi(rows, self.comparing(rows, op, b, a, True), keep)
             case Binary(">" | "!=", Call("count", (a,)), Number(0.0)):
                 return self.where(rows, a, keep)
@@ -140,7 +174,7 @@ class Lifter:
         return isinstance(tree, (Literal, Number)) or isinstance(tree, Variable) and type_of(tree, self.variables) != "nodes" or isinstance(tree, Unary) and self.constant(tree.operand)
 
     def context(self, rows: DataFrame) -> DataFrame:
-        return rows.select("iter", *COLUMNS)
+        return rows.select("iter", *columns_of(rows))
 
     def comparing(self, rows: DataFrame, op: str, nodes, value, turned: bool) -> DataFrame:
         """Nodes of ``nodes`` that compare with a constant."""
@@ -160,7 +194,8 @@ class Lifter:
         wanted = rows.select("iter", F.col("doc_id").alias("c_doc"), F.explode(F.split(F.trim(sc.string_of(value, kind)), r"[ \t\r\n]+")).alias("c_id"))
         owners = self.forest.narrowed((ATTRIBUTE,), "id").where((F.col("kind") == ATTRIBUTE) & (F.col("local") == "id")).select(F.col("doc_id").alias("a_doc"), F.col("parent").alias("a_parent"), F.col("value").alias("a_value"))
         hit = wanted.join(owners, (F.col("c_doc") == F.col("a_doc")) & (F.col("c_id") == F.col("a_value")))
-        return hit.join(self.forest.narrowed((ELEMENT,), None), (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("a_parent"))).select("iter", *COLUMNS).dropDuplicates(["iter", "doc_id", "pre"])
+        found = hit.join(self.forest.narrowed((ELEMENT,), None), (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("a_parent")))
+        return found.select("iter", *columns_of(found)).dropDuplicates(["iter", "doc_id", "pre"])
 
     # string-values
 
@@ -195,6 +230,8 @@ class Lifter:
 
     def first(self, rows: DataFrame, tree, what: Column | None = None, default: str = "") -> Value:
         """Of the first node in document order: its string-value or another column."""
+        if what is None and (own := self.own(rows, tree)) is not None:
+            return rows, F.coalesce(own, F.lit(default)), "string"
         found = self.nodeset(self.context(rows), tree)
         if what is None:
             found, what = self.texts(found, tree)
@@ -243,6 +280,8 @@ class Lifter:
         return self.typed(rows, tree, "string")
 
     def boolean(self, rows: DataFrame, tree) -> tuple[DataFrame, Column]:
+        if (own := self.own(rows, tree)) is not None:
+            return rows, own.isNotNull()
         if type_of(tree, self.variables) == "nodes":
             return self.joined(rows, self.nodeset(self.context(rows), tree), F.count(F.lit(1)) > 0, False)
         return self.typed(rows, tree, "boolean")
@@ -253,6 +292,16 @@ class Lifter:
             rows, left = self.boolean(rows, a)
             rows, right = self.boolean(rows, b)
             return rows, self.plain(op, left, "boolean", right, "boolean"), "boolean"
+        ours = [self.own(rows, t) for t in (a, b)]
+        if all(o is not None or k != "nodes" for o, k in zip(ours, (ka, kb))) and "nodes" in (ka, kb):
+            sides = []
+            for o, t in zip(ours, (a, b)):
+                if o is None:
+                    rows, col, kind = self.scalar(rows, t)
+                    sides.append((col, kind))
+                else:
+                    sides.append((o, "string"))
+            return rows, F.coalesce(self.plain(op, *sides[0], *sides[1]), F.lit(False)) & (ours[0] if ours[0] is not None else F.lit(True)).isNotNull() & (ours[1] if ours[1] is not None else F.lit(True)).isNotNull(), "boolean"
         if ka == kb == "nodes":
             return self.both_sets(rows, op, a, b)
         if "nodes" in (ka, kb):
@@ -313,11 +362,15 @@ class Lifter:
             case "count", 1:
                 if type_of(args[0], self.variables) != "nodes":
                     return rows, F.lit(1.0), "number"
+                if (own := self.own(rows, args[0])) is not None:
+                    return rows, own.isNotNull().cast("double"), "number"
                 rows, col = self.joined(rows, self.nodeset(self.context(rows), args[0]), F.count(F.lit(1)).cast("double"), 0.0)
                 return rows, col, "number"
             case "sum", 1:
                 if type_of(args[0], self.variables) != "nodes":
                     return rows, F.lit(float("nan")), "number"
+                if (own := self.own(rows, args[0])) is not None:
+                    return rows, F.when(own.isNull(), 0.0).otherwise(sc.number_of(own, "string")), "number"
                 found, text = self.texts(self.nodeset(self.context(rows), args[0]), args[0])
                 rows, col = self.joined(rows, found, F.sum(sc.number_of(text, "string")), 0.0)
                 return rows, col, "number"
@@ -403,15 +456,17 @@ class Lifter:
 
 def contexts(forest: Forest) -> DataFrame:
     """One context per document: its root."""
-    return forest.narrowed((DOCUMENT,), None).where(F.col("kind") == DOCUMENT).select(F.col("doc_id").alias("iter"), *COLUMNS)
+    roots = forest.narrowed((DOCUMENT,), None).where(F.col("kind") == DOCUMENT)
+    return roots.select(F.col("doc_id").alias("iter"), *columns_of(roots))
 
 
-def select(forest: Forest, expr: str, variables: dict | None = None, namespaces: dict | None = None, context: DataFrame | None = None) -> DataFrame:
-    """A node-set per document: ``(iter, node columns, string_value)``, without order."""
-    lifter = Lifter(forest, variables, namespaces)
-    tree = parse(expr)
+def select(forest: Forest, expr: str, variables: dict | None = None, namespaces: dict | None = None, context: DataFrame | None = None, carry: str | None = None, limits: Limits = USUAL) -> DataFrame:
+    """A node-set per document: ``(iter, node columns, string_value)``, without order. The nodes can bring along what the expression ``carry`` will ask of them, as further columns."""
+    tree = parse(expr, limits)
+    forest = forest.carrying(attribute_names(tree) | (attribute_names(parse(carry, limits)) if carry else set()))
+    lifter = Lifter(forest, variables, namespaces, context is None, limits)
     found, text = lifter.texts(lifter.nodeset(contexts(forest) if context is None else context, tree), tree)
-    return found.select("iter", *COLUMNS, text.alias("string_value"))
+    return found.select("iter", *(columns_of(found) if carry else COLUMNS), text.alias("string_value"))
 
 
 def select_first(forest: Forest, expr: str, variables: dict | None = None, namespaces: dict | None = None) -> DataFrame:
@@ -420,8 +475,10 @@ def select_first(forest: Forest, expr: str, variables: dict | None = None, names
     return found.groupBy("doc_id", "iter").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("doc_id", "iter")]), "pre").alias("n")).select("iter", "doc_id", "n.*")
 
 
-def evaluate(forest: Forest, expr: str, variables: dict | None = None, namespaces: dict | None = None, context: DataFrame | None = None) -> DataFrame:
+def evaluate(forest: Forest, expr: str, variables: dict | None = None, namespaces: dict | None = None, context: DataFrame | None = None, limits: Limits = USUAL) -> DataFrame:
     """A number, string or truth per document: ``(iter, doc_id, value)``; of a node-set, the first node's string."""
-    lifter = Lifter(forest, variables, namespaces)
-    rows, value, _ = lifter.scalar(contexts(forest) if context is None else context, parse(expr))
+    tree = parse(expr, limits)
+    forest = forest.carrying(attribute_names(tree))
+    lifter = Lifter(forest, variables, namespaces, context is None, limits)
+    rows, value, _ = lifter.scalar(contexts(forest) if context is None else context, tree)
     return rows.select("iter", "doc_id", value.alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvan.plans import lift
 from sylvan.session import tuned
-from sylvan.sources.relational import COLUMNS, Forest, conv_tree, geo_tree, order_tree
+from sylvan.sources.relational import Forest, conv_tree, geo_tree, order_tree
 from sylvan.sources.shred import page_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +38,7 @@ def per_node(name: str, tree, path: str, expr: str, sql: str, kind: str = "strin
 
     def run(spark, sf_dir):
         forest = tree(spark, sf_dir)
-        found = lift.select(forest, path).withColumn("iter", F.struct("doc_id", "pre")).select("iter", *COLUMNS)
+        found = lift.select(forest, path, carry=expr).withColumn("iter", F.struct("doc_id", "pre")).drop("string_value")
         out = lift.evaluate(forest, expr, context=found)
         shown = F.round(F.col("value").cast("double"), 2) if kind == "double" else F.col("value").cast(kind)
         return out.select("doc_id", F.col("iter.pre").cast("long").alias("pre"), shown.alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,14 +20,27 @@ class Part:
     rows: DataFrame
     nodes: list[tuple[int, str | None, Column]]
 
+    def owned(self, name: str) -> Column | None:
+        """The attribute of this name of the rows' element; a row makes one element."""
+        return next((c for kind, local, c in self.nodes if kind == ATTRIBUTE and local == name), None)
+
 
 @dataclass
 class Forest:
-    """Documents as a node table, and their texts (None: they hold none). A forest over tables is kept in parts, so that a step makes only the nodes its test can take."""
+    """Documents as a node table, and their texts (None: they hold none). A forest over tables is kept in parts, so that a step makes only the nodes its test can take.
+
+    ``carried`` names attributes whose place and value elements bring along, in columns ``@name#`` and ``@name`` (null: not there), so that no join is needed to look
+    at them. ``rooted``: every node's document has a root here."""
 
     all_nodes: DataFrame | None = None
     docs: DataFrame | None = None
     parts: list[Part] | None = None
+    carried: tuple[str, ...] = ()
+    rooted: bool = False
+
+    def carrying(self, names) -> Forest:
+        """The forest whose elements bring these attributes along; a node table has them in rows of their own only."""
+        return self if self.parts is None else replace(self, carried=tuple(sorted(set(names))))
 
     def narrowed(self, kinds: tuple[int, ...] | None, name: str | None) -> DataFrame:
         """The nodes of these kinds and this name (None: any); others may be there too."""
@@ -37,9 +50,9 @@ class Forest:
         for p in self.parts:
             own = [c for kind, local, c in p.nodes if (kinds is None or kind in kinds) and (name is None or local == name)]
             if own:
-                found = spread(p.rows, own)
+                found = spread(p.rows, own, [(n, p.owned(n)) for n in self.carried])
                 out = found if out is None else out.unionByName(found)
-        return out if out is not None else spread(self.parts[0].rows, [self.parts[0].nodes[0][2]]).where(F.lit(False))
+        return out if out is not None else spread(self.parts[0].rows, [self.parts[0].nodes[0][2]], [(n, None) for n in self.carried]).where(F.lit(False))
 
     @property
     def nodes(self) -> DataFrame:
@@ -64,10 +77,18 @@ def node(pre: Column, last: Column, parent: Column, level: int, kind: int, name:
     return F.struct(*[v.cast(kinds[k]).alias(k) for k, v in cols.items()])
 
 
-def spread(rows: DataFrame, nodes: list[Column]) -> DataFrame:
-    """Each row's nodes as rows."""
+def spread(rows: DataFrame, nodes: list[Column], carried: list[tuple[str, Column | None]] = ()) -> DataFrame:
+    """Each row's nodes as rows; elements with the attributes they bring along."""
     one = nodes[0] if len(nodes) == 1 else F.explode(F.array(*nodes))
-    return rows.select("doc_id", one.alias("n")).select("doc_id", "n.*")
+    more = [(f"@{n}{mark}", None if c is None else c[what], kind) for n, c in carried for mark, what, kind in (("#", "pre", "int"), ("", "value", "string"))]
+    made = rows.select("doc_id", one.alias("n"), *[(F.lit(None) if c is None else c).cast(kind).alias(name) for name, c, kind in more])
+    own = [F.when(F.col("n.kind") == ELEMENT, F.col(name)).alias(name) for name, _, _ in more]
+    return made.select("doc_id", "n.*", *own)
+
+
+def columns_of(df: DataFrame) -> list[str]:
+    """The node columns, and those of the attributes that are brought along."""
+    return [*COLUMNS, *[c for c in df.columns if c.startswith("@")]]
 
 
 def text(c: Column) -> Column:
@@ -91,7 +112,7 @@ def order_tree(spark: SparkSession, sf_dir: str) -> Forest:
     at = F.lit(2 + a) + (F.col("i") - 1) * (1 + b)
     leaves = [element("lineitem", at, at + b, F.lit(1), 2, sib=F.col("i"))]
     leaves += [attribute(name, at + j, at, 3, shown(c, kinds[c])) for j, (name, c) in enumerate(item, 1)]
-    return Forest(parts=[Part(orders, tops), Part(lines, leaves)])
+    return Forest(parts=[Part(orders, tops), Part(lines, leaves)], rooted=True)
 
 
 def decimal(c: Column) -> Column:
@@ -100,26 +121,30 @@ def decimal(c: Column) -> Column:
 
 
 def geo_tree(spark: SparkSession, sf_dir: str) -> Forest:
-    """One document: world / region(@key @name) / nation(@key @name) / supplier(@key @name @bal), by key. A tree of the size of the supplier table, numbered in one task."""
+    """One document: world / region(@key @name) / nation(@key @name) / supplier(@key @name @bal), by key.
+
+    Suppliers are numbered within their nation; where nations and regions begin comes from the nations' counts, a table of the size of the nation table.
+    """
     r, n, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier"))
-    rows = (
-        s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("n"), F.col("s_suppkey").alias("s"), F.lit(4).alias("size"), F.lit(3).alias("deep"), F.lit("supplier").alias("name"), text(F.col("s_suppkey")).alias("key"), F.col("s_name").alias("label"), decimal(F.col("s_acctbal")).alias("bal"))
-        .unionByName(n.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("n"), F.lit(-1).cast("long").alias("s"), F.lit(3).alias("size"), F.lit(2).alias("deep"), F.lit("nation").alias("name"), text(F.col("n_nationkey")).alias("key"), F.col("n_name").alias("label"), F.lit(None).cast("string").alias("bal")))
-        .unionByName(r.select(F.col("r_regionkey").alias("r"), F.lit(-1).alias("n"), F.lit(-1).cast("long").alias("s"), F.lit(3).alias("size"), F.lit(1).alias("deep"), F.lit("region").alias("name"), text(F.col("r_regionkey")).alias("key"), F.col("r_name").alias("label"), F.lit(None).cast("string").alias("bal")))
-    )
-    order = Window.partitionBy(F.lit(0)).orderBy("r", "n", "s")
-    rows = rows.withColumn("pre", F.sum("size").over(order) - F.col("size") + 2).withColumn("doc_id", F.lit(0).cast("long"))
-    region, nation = Window.partitionBy("r"), Window.partitionBy("r", "n")
-    end = F.col("pre") + F.col("size") - 1
-    rows = rows.withColumn("last", F.when(F.col("deep") == 1, F.max(end).over(region)).when(F.col("deep") == 2, F.max(end).over(nation)).otherwise(end))
-    rows = rows.withColumn("up", F.when(F.col("deep") == 1, F.lit(1)).when(F.col("deep") == 2, F.min("pre").over(region)).otherwise(F.min("pre").over(nation)))
-    rows = rows.withColumn("sib", F.row_number().over(Window.partitionBy("up").orderBy("pre"))).withColumn("whole", F.max(end).over(Window.partitionBy(F.lit(0)))).withColumn("first", F.row_number().over(order) == 1)
-    parts = []
-    for deep, name in ((1, "region"), (2, "nation"), (3, "supplier")):
+    one = F.lit(0).cast("long").alias("doc_id")
+    held = s.groupBy(F.col("s_nationkey").alias("key")).agg(F.count("*").alias("k"))
+    sized = n.join(held, n.n_nationkey == held.key, "left").select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("n"), "n_name", (3 + 4 * F.coalesce("k", F.lit(0))).alias("size"))
+    heads = sized.select("r", "n", F.col("n_name").alias("label"), "size").unionByName(r.select(F.col("r_regionkey").alias("r"), F.lit(-1).alias("n"), F.col("r_name").alias("label"), F.lit(3).cast("long").alias("size")))
+    order = Window.partitionBy(F.lit(0)).orderBy("r", "n")
+    heads = heads.withColumn("pre", F.sum("size").over(order) - F.col("size") + 2).withColumn("end", F.col("pre") + F.col("size") - 1).withColumn("whole", F.max("end").over(Window.partitionBy(F.lit(0)))).withColumn("first", F.row_number().over(order) == 1)
+    region = Window.partitionBy("r")
+    heads = heads.withColumn("last", F.when(F.col("n") < 0, F.max("end").over(region)).otherwise(F.col("end"))).withColumn("up", F.when(F.col("n") < 0, F.lit(1)).otherwise(F.min("pre").over(region)))
+    heads = heads.withColumn("sib", F.row_number().over(Window.partitionBy("up").orderBy("pre"))).withColumn("key", text(F.when(F.col("n") < 0, F.col("r")).otherwise(F.col("n")))).select(one, "*")
+    nations = heads.where("n >= 0").select(F.col("n").alias("of"), F.col("pre").alias("up"))
+    i = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    rows = s.withColumn("sib", i).join(F.broadcast(nations), F.col("s_nationkey") == F.col("of")).withColumn("pre", F.col("up") + 3 + (F.col("sib") - 1) * 4)
+    rows = rows.select(one, "pre", (F.col("pre") + 3).alias("last"), "up", "sib", text(F.col("s_suppkey")).alias("key"), F.col("s_name").alias("label"), decimal(F.col("s_acctbal")).alias("bal"))
+    parts = [Part(heads.where("first"), [root(F.col("whole")), element("world", F.lit(1), F.col("whole"), F.lit(0), 1, sib=F.lit(1))])]
+    for deep, name, own in ((1, "region", heads.where("n < 0")), (2, "nation", heads.where("n >= 0")), (3, "supplier", rows)):
         found = [element(name, F.col("pre"), F.col("last"), F.col("up"), deep + 1, sib=F.col("sib"))]
         found += [attribute(a, F.col("pre") + j, F.col("pre"), deep + 2, F.col(c)) for j, (a, c) in enumerate([("key", "key"), ("name", "label")] + ([("bal", "bal")] if deep == 3 else []), 1)]
-        parts.append(Part(rows.where(F.col("deep") == deep), found))
-    return Forest(parts=[Part(rows.where("first"), [root(F.col("whole")), element("world", F.lit(1), F.col("whole"), F.lit(0), 1, sib=F.lit(1))]), *parts])
+        parts.append(Part(own, found))
+    return Forest(parts=parts, rooted=True)
 
 
 def conv_tree(spark: SparkSession, sf_dir: str) -> Forest:
@@ -134,4 +159,4 @@ def conv_tree(spark: SparkSession, sf_dir: str) -> Forest:
     inner = {"ts": F.col("ts"), "te": F.col("te")}
     leaves = [element("turn", at, at + 3, F.lit(1), 2, sib=F.col("i"), **inner), attribute("n", at + 1, at, 3, text(F.col("turn"))), attribute("role", at + 2, at, 3, F.col("role"))]
     leaves.append((TEXT, None, node(at + 3, at + 3, at, 3, TEXT, None, F.col("text"), sib=F.lit(1), **inner)))
-    return Forest(docs=docs.select("doc_id", F.lit(None).cast("string").alias("uri"), "text"), parts=[Part(docs, tops), Part(rows, leaves)])
+    return Forest(docs=docs.select("doc_id", F.lit(None).cast("string").alias("uri"), "text"), parts=[Part(docs, tops), Part(rows, leaves)], rooted=True)

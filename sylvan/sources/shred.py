@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylvan.session import written_once
 from sylvan.sources.relational import ATTRIBUTE, COLUMNS, COMMENT, DOCUMENT, ELEMENT, NODES, PI, TEXT, Forest
 
 # HTML elements without content, and those whose start ends an open one of their kind.
@@ -154,8 +155,8 @@ def html_rows(text: str) -> list[list]:
 ARROW = pa.schema([("doc_id", pa.int64()), *[(c, pa.string() if c in ("name", "local", "ns", "value") else pa.int8() if c == "kind" else pa.int32()) for c in COLUMNS[1:]]])
 
 
-def shred(source: DataFrame, text: str = "xml", html: bool = False, mode: str = "PERMISSIVE") -> Forest:
-    """``source(doc_id, text column, ...)`` -> nodes and texts.
+def shred(source: DataFrame, text: str = "xml", html: bool = False, mode: str = "PERMISSIVE", once: bool = False) -> Forest:
+    """``source(doc_id, text column, ...)`` -> nodes and texts. ``once`` writes the node table, so that plans of several steps parse a text once.
 
     What can't be parsed: FAILFAST raises, DROPMALFORMED drops it, PERMISSIVE keeps a document row alone, whose value is the message. A null text gives no row.
     """
@@ -183,6 +184,7 @@ def shred(source: DataFrame, text: str = "xml", html: bool = False, mode: str =
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW)], schema=ARROW)
 
     rows = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("xml")).where("xml is not null").mapInArrow(run, NODES)
+    rows = written_once(rows, "nodes") if once else rows
     docs = rows.where(F.col("kind") == TEXT).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"]), "").alias("text"))
     return Forest(rows, docs.select("doc_id", F.lit(None).cast("string").alias("uri"), "text"))
 
@@ -190,4 +192,4 @@ def shred(source: DataFrame, text: str = "xml", html: bool = False, mode: str =
 def page_tree(spark, sf_dir: str) -> Forest:
     """One document per page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumnRenamed("page_id", "doc_id")
-    return shred(pages, "html", html=True)
+    return shred(pages, "html", html=True, once=True)
