@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one: repeated rows and rows without an id fare as their texts do. An empty table gives an empty one.
     """
     model = langid.train(docs.where(crc_mod("doc_id", 5) != 0))
-    found = langid.predict(docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row")), model, ["row"])
+    found = langid.predict(docs.select(F.struct(*docs.columns).alias("row")), model, ["row"], nested=True)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & ((F.col("score") >= REJECT) | (F.col("n_grams") < GRAMS))).select("row.*")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sylvan.llm import text as tx
 from sylvan.llm.files import get
 from sylvan.llm.files import put as put_file
-from sylvan.llm.shared import cut, fresh_path
+from sylvan.llm.shared import bounded, cut, fresh_path
 
 WINDOW, SPREAD = 16, 512
 #: Entries after which a worker's cache of pre-tokens or words starts anew, and chunks in a shard of the store, about.
@@ -289,7 +289,7 @@ def stored(rows: DataFrame, what: str, bits: int) -> Store:
 
 def shared_chunks(docs: DataFrame, path: str, id_: str) -> Store:
     """The encodings of all chunks that stand more than once in ``docs(text, id)``. Each is encoded by the document with the smallest id that holds it; rows without an id encode none."""
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.col(id_).cast("long").alias("doc"))
+    texts = bounded(docs).select(F.col("text").cast("string").alias("text"), F.col(id_).cast("long").alias("doc"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm import text as tx
-from sylvan.llm.shared import crc_mod
+from sylvan.llm.shared import bounded, crc_mod
 
 DIM = 4096
 #: Texts bundled at once, and trigrams bound at once: memory is these times DIM.
@@ -165,12 +165,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros(x.shape), where=norm > 0)
 
 
-def blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str | None]]]:
-    data, at = tx.raw(batch.column(column))
+def blocks(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    data, at = tx.raw(column)
     for first, end in tx.slices(data, at, 1 << 20):
         for a in range(first, end, ROWS):
             b = min(a + ROWS, end)
-            yield a, b, batch.column(column).slice(a, b - a).to_pylist()
+            yield a, b, column.slice(a, b - a).to_pylist()
 
 
 def train(labelled: DataFrame) -> dict[str, np.ndarray]:
@@ -180,20 +180,20 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
         profiles = Profiles()
         for batch in batches:
             lang = np.array(batch.column(1).to_pylist(), object)
-            for a, b, texts in blocks(batch, 0):
+            for a, b, texts in blocks(batch.column(0)):
                 profiles.add(texts, lang[a:b])
         for name, v in profiles.prototypes().items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(np.arange(DIM)), pa.array(v.astype(np.int64))], ["lang", "dim", "v"])
 
-    rows = labelled.where("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, dim long, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect()
+    rows = bounded(labelled).where("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, dim long, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect()
     out: dict[str, np.ndarray] = {}
     for r in rows:
         out.setdefault(r.lang, np.zeros(DIM))[r.dim] = r.v
     return {k: out[k] for k in sorted(out) if out[k].any()}
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs with ``lang_pred``, ``score``, the cosine cut to 0..1, and ``n_grams``, the text's distinct trigrams.
+def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], nested: bool = False) -> DataFrame:
+    """Columns ``keep`` of docs (``nested``: the first of them, a struct, has the text) with ``lang_pred``, ``score``, the cosine cut to 0..1, and ``n_grams``, the text's distinct trigrams.
 
     ``und`` with score 0 where text is null, has no letter, or there is no prototype. Equal cosines: the first language by name.
     """
@@ -203,22 +203,23 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> D
     def run(batches):
         for batch in batches:
             pred, score, n_grams = [], [], []
-            for _, _, texts in blocks(batch, 0):
+            column = batch.column(0).field("text") if nested else batch.column(0)
+            for _, _, texts in blocks(column):
                 x, has, distinct = bundles(texts)
                 n_grams += distinct.tolist()
                 if names:
-                    cos = np.round(unit(x) @ prototypes.T, 9)
+                    cos = np.round(np.concatenate([unit(x[i : i + 64]) @ prototypes.T for i in range(0, len(x), 64)]), 9)
                     best = cos.argmax(1)
                     pred += [names[i] if h else UNKNOWN for i, h in zip(best, has)]
                     score += np.where(has, np.clip(cos.max(1), 0, 1), 0).tolist()
                 else:
                     pred += [UNKNOWN] * len(texts)
                     score += [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n_grams, pa.int64())], names=[*batch.schema.names[1:], "lang_pred", "score", "n_grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[not nested :], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n_grams, pa.int64())], names=[*batch.schema.names[not nested :], "lang_pred", "score", "n_grams"])
 
     from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_grams", LongType())]))
+    return bounded(docs).select(*([] if nested else [F.col("text").alias("__text")]), *keep).mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_grams", LongType())]))
 
 
 def identify(docs: DataFrame, holdout: int = 5) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm import text as tx
+from sylvan.llm.shared import bounded
 
 # The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -129,4 +130,4 @@ def scan_licenses(docs: DataFrame, keep: list[str], notices: tuple = NOTICES) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*batch.schema.names[1:], *names])
 
     schema = StructType([*[docs.schema[c] for c in keep], *StructType.fromDDL(SCAN).fields])
-    return docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, schema)
+    return bounded(docs).select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, schema)

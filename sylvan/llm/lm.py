@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, Str
 from sylvan.llm import text as tx
 from sylvan.llm.eliasfano import EliasFano
 from sylvan.llm.files import get, put
-from sylvan.llm.shared import crc_mod, cut, fresh_path
+from sylvan.llm.shared import bounded, crc_mod, cut, fresh_path
 
 ORDER, DISCOUNT = 3, 0.75
 #: The token at a text's end, also the context at its start; a hash no word is likely to have.
@@ -375,7 +375,7 @@ def per_text(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def vocabulary(rows: DataFrame, most: int = MASS, each: int = BYTES) -> tuple[str, dict]:
     """``rows(text)`` -> folder of the model, and its facts so far. Shards take contexts of ``most`` tokens, and the words of ``each`` bytes of text, about."""
     path = fresh_path(rows.sparkSession, "lm")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = bounded(rows).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 << (int(size) // each).bit_length()
     bits = np.uint64(64 - n.bit_length() + 1)
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm import text as tx
+from sylvan.llm.shared import bounded
 
 # Fixed values of the format.
 PACKET, SYNC = 188, 0x47
@@ -194,7 +195,7 @@ def store(docs: DataFrame, keep: list[str]) -> DataFrame:
                 media = [write(padded(data[i:j].tobytes())) for i, j in zip(at[a:b], at[a + 1 : b + 1])]
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[1:]], pa.array(np.diff(at[a : b + 1])), pa.array(media, pa.binary())], names=[*batch.schema.names[1:], "n_bytes", "media"])
 
-    return docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, StructType([*[docs.schema[c] for c in keep], StructField("n_bytes", LongType()), StructField("media", BinaryType())]))
+    return bounded(docs).select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(run, StructType([*[docs.schema[c] for c in keep], StructField("n_bytes", LongType()), StructField("media", BinaryType())]))
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units long, timestamps array<long>, access_points array<long>, error string"

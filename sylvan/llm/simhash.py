@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sylvan.llm import text as tx
 from sylvan.llm.components import components
-from sylvan.llm.shared import cut
+from sylvan.llm.shared import bounded, cut
 
 SHINGLE, TAU, SEED = 3, 3, 42
 #: Costs of one index entry and of one candidate check, in the same unit.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.llm import text as tx
-from sylvan.llm.shared import cut
+from sylvan.llm.shared import bounded, cut
 
 #: Words in a window, and in the k-mers from which a window's minimiser is taken.
 K, ANCHOR = 13, 6
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), layout: bool = F
     """
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
     texts = rows.select("doc_id", "text")
     spans = cut(repeated_spans(texts.where("doc_id is not null")), "spans")
     sources = spans.groupBy(F.col("own_doc").alias("src")).agg(F.collect_set(F.struct("own_start", "n")).alias("wanted"))
