@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from contextlib import nullcontext
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -32,7 +33,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     files = spark.read.text(a.xml, wholetext=True).withColumn("doc_id", F.monotonically_increasing_id())
     failed = False
-    with open(a.output, "w") if a.output else sys.stdout as out:
+    with open(a.output, "w") if a.output else nullcontext(sys.stdout) as out:
         for r in t.transform(files, "value").orderBy("doc_id").toLocalIterator():
             if r.error:
                 print(r.error, file=sys.stderr)
