@@ -180,7 +180,7 @@ def shards_of(counted: DataFrame, n: int, build) -> list[tuple]:
         if held:
             yield done()
 
-    ordered = counted.repartitionById(n, F.col("shard")) if n > 1 else counted.coalesce(1)
+    ordered = counted.repartitionById(n, F.col("shard"))
     told = ordered.sortWithinPartitions("shard").mapInArrow(run, "shard int, n long, widest long, starts array<long>, split array<long>, mass array<long>")
     return sorted(tuple(r) for r in told.collect())
 
