@@ -62,6 +62,7 @@ found("q_pi_name", "string(//processing-instruction('mark'))", "'m' || id")
 found("q_comment", "string(//comment())", "'n' || id")
 found("q_keyword_names", "/c:customer/and + /c:customer/or * /c:customer/div div /c:customer/mod - /*/div mod /*/or", "6::DOUBLE", "double")
 found("q_true_false", "true() and not(false()) and true() != false()", "true", "boolean")
+found("q_translate_computed", "translate(c:customer/c:name, 'Customer', //and)", "translate(c_name, 'Customer', '2')")
 found("q_attribute_parent", "name(//@seg/..)", "'c:customer'")
 found("q_cast_nodes", "count(//i) = (/*/@nation mod 5)", "true", "boolean")
 

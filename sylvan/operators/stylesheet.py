@@ -155,6 +155,8 @@ class Stylesheet:
         self.strip: list[tuple[str, bool]] = []
         self.output, self.namespaces = Output(), {"xml": "http://www.w3.org/XML/1998/namespace"}
         self.templates: dict[str, list] = {}
+        #: The rules that a node may match, by mode, kind, name and namespace.
+        self.possible: dict[tuple, list[Rule]] = {}
         self.precedence = 0
         self.load(text, uri, [])
         self.rules.sort(key=lambda r: (-r.precedence, -r.priority, -r.order))
@@ -327,11 +329,23 @@ class Run:
         return self.steps(n.parent, rest, rooted) if rest or rooted else True
 
     def rule(self, n: Node, mode: str, below: int | None = None) -> Rule | None:
-        for r in self.sheet.rules:
-            if r.mode == mode and (below is None or r.precedence < below) and self.matches(r.arm, n):
+        key = (mode, n.kind, n.name, n.ns)
+        if (own := self.sheet.possible.get(key)) is None:
+            own = self.sheet.possible[key] = [r for r in self.sheet.rules if r.mode == mode and self.possible(r.arm, n)]
+        for r in own:
+            if (below is None or r.precedence < below) and self.matches(r.arm, n):
                 return r
         return None
 
+    def possible(self, arm, n: Node) -> bool:
+        """Whether a node of this kind and name may match, by the last step's test alone."""
+        if not isinstance(arm, Path) or not arm.steps or arm.start not in (None, "root"):
+            return True
+        s = arm.steps[-1]
+        if s.axis == "descendant-or-self":
+            return True
+        return (s.axis == "attribute") == (n.kind == ATTRIBUTE) and n.kind != DOCUMENT and passes(n, s.axis, s.test, self.sheet.namespaces)
+
     def apply(self, ctx: Context, nodes: list[Node], mode: str, params: dict, out: Node) -> None:
         for i, n in enumerate(nodes, 1):
             self.one(n, i, len(nodes), mode, params, out, self.rule(n, mode))

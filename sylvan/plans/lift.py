@@ -411,10 +411,8 @@ class Lifter:
                 rows, s = self.string(rows, args[0] if args else here)
                 return (rows, F.length(s).cast("double"), "number") if name == "string-length" else (rows, sc.normalize_space(s), "string")
             case "translate", 3:
-                if not all(isinstance(a, Literal) for a in args[1:]):
-                    raise XPathError("translate() takes literal letters here")
-                rows, s = self.string(rows, args[0])
-                return rows, sc.translate(s, args[1].value, args[2].value), "string"
+                rows, cols = strings(rows)
+                return rows, F.call_function("translate", *cols), "string"
             case "floor" | "ceiling" | "round", 1:
                 rows, x = self.number(rows, args[0])
                 return rows, {"floor": sc.floor_, "ceiling": sc.ceiling, "round": sc.round_}[name](x), "number"
