@@ -175,6 +175,8 @@ def bucket_links(key: np.ndarray, x: np.ndarray, tau: int) -> np.ndarray:
         local = np.arange(k)
         for i in range(0, k, BLOCK):
             for j in range(i, k, BLOCK):
+                if j > i and (local[i : i + BLOCK] == local[i]).all() and (local[j : j + BLOCK] == local[i]).all():
+                    continue  # one component already: no pair in here joins anything
                 a, b = np.nonzero(np.bitwise_count(x[s + i : s + min(i + BLOCK, k), None] ^ x[None, s + j : s + min(j + BLOCK, k)]) <= tau)
                 a, b = a + i, b + j
                 if (diff := local[a] != local[b]).any():
