@@ -95,6 +95,19 @@ def test_pigeonhole_loses_no_pair():
         assert np.any([a == b for a, b in zip(simhash.keys(x, parts), simhash.keys(y, parts))], axis=0).all()
 
 
+def test_large_buckets(monkeypatch):
+    """Buckets that are compared block by block, dense ones among them, give the components of all pairs."""
+    rng = np.random.default_rng(5)
+    dense = rng.integers(0, 1 << 63, 1, dtype=np.uint64) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 2)) for _ in range(40)], np.uint64)
+    x = np.r_[dense, rng.integers(0, 1 << 63, 25, dtype=np.uint64), dense[:3] ^ np.uint64(7 << 20)]
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
+    label = np.arange(len(x))
+    for _ in x:
+        label = np.array([label[row].min() for row in near])
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    assert simhash.bucket_links(np.zeros(len(x), np.int64), x, 3).tolist() == label.tolist()
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
