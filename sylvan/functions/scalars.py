@@ -114,16 +114,6 @@ def normalize_space(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"[ \t\r\n]+", " "), "^ | $", "")
 
 
-def translate(s: Column, old: str, new: str) -> Column:
-    """Letters of ``old`` to those of ``new``; the first place of a letter counts, letters without a partner go."""
-    seen: dict[str, str] = {}
-    for i, c in enumerate(old):
-        seen.setdefault(c, new[i] if i < len(new) else "")
-    kept = [c for c in seen if seen[c]]
-    gone = [c for c in seen if not seen[c]]
-    return F.translate(s, "".join(kept) + "".join(gone), "".join(seen[c] for c in kept))
-
-
 def format_number(x: Column, pattern: str) -> Column:
     """The common part of format-number(): grouping, least and most decimals, least whole digits, percent, a negative sub-pattern's affixes; halves to even."""
     positive, _, negative = pattern.partition(";")

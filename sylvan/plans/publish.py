@@ -707,9 +707,11 @@ class Publisher(Lifter):
         return rows, out
 
     def kept_as_nodes(self, c: Node) -> bool:
-        """Whether a parameter that is one attribute may be asked for more than its text: its truth, number of nodes, or a path from it."""
-        name = re.compile(rf"(?:count|sum|boolean|not|name|local-name)\(\s*\${re.escape(c.attribute('name'))}\b|\${re.escape(c.attribute('name'))}\s*[/\[|]|(?:^|\b(?:and|or)\b)\s*\${re.escape(c.attribute('name'))}\s*(?:$|\b(?:and|or)\b)")
-        return any(name.search(a.value) for _, body in self.sheet.named.values() for x in [body, *_inside(body)] for a in x.attributes if a.name in ("test", "select")) or any(name.search(a.value) for r in self.sheet.rules for x in _inside(r.body) for a in x.attributes if a.name == "test")
+        """Whether a parameter that is one attribute may be asked for more than its text: its truth, number or order, a comparison (where no node is not the empty text), or a path from it."""
+        x = rf"\${re.escape(c.attribute('name'))}(?![\w.-])"
+        more = re.compile(rf"(?:count|sum|boolean|not|name|local-name|namespace-uri)\(\s*{x}|{x}\s*[/\[|=!<>]|[=<>]\s*{x}|(?:^|\b(?:and|or)\b)\s*{x}\s*(?:$|\b(?:and|or)\b)")
+        bodies = [body for _, body in self.sheet.named.values()] + [r.body for r in self.sheet.rules]
+        return any(more.search(a.value) for body in bodies for n in _inside(body) for a in n.attributes)
 
     def each(self, rows: DataFrame, g: Group, sorts, make: Callable, alone: bool) -> tuple[DataFrame, Made]:
         """The child rows' results, joined in order. Positions are known where these rows are all that is listed."""
