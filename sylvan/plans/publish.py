@@ -170,8 +170,23 @@ class Publisher(Lifter):
                 for s in simplified(steps, self.variables):
                     now = [x for t in now for x in self.step(t, s)]
                 return now
+            case Path(start, steps) if start is not None:
+                now = self.targets(here, start)
+                for s in steps:
+                    now = [x for t in now for x in self.step(t, s)]
+                return now
+            case Call("key", (Literal(name), Literal() as wanted)):
+                return self.keyed(here, name, wanted)
         raise Unsupported(f"the nodes of {tree}")
 
+    def keyed(self, here: Here, name: str, wanted: Literal) -> list:
+        """key() with a literal value, for child rows of the document's element by one of their attributes: a predicate on them."""
+        own = Here(self.top, ELEMENT, self.top.name, Here(self.top, DOCUMENT))
+        match self.sheet.keys.get(name):
+            case [([Path(None, (Step("child", Test("name", child, None), ()),))], Path(None, (Step("attribute", Test("name", _, None), ()),)) as use)] if here.shape is self.top and child not in ("*", self.top.name) and not any(c.children for c in self.top.children):
+                return [Group(c, own, (Binary("=", use, wanted),)) for c in self.top.children if c.name == child]
+        raise Unsupported("keys of this kind")
+
     def step(self, t, s: Step) -> list:
         if isinstance(t, Group):
             if s.axis == "attribute" and s.test.kind == "name" and s.test.local != "*" and not s.predicates and t.leaf is None:
@@ -337,7 +352,7 @@ class Publisher(Lifter):
                 raise Unsupported("names of child rows")
             t = found[0]
             return rows, F.when(t.exists(), "" if name == "namespace-uri" or t.kind not in (ELEMENT, ATTRIBUTE) else t.name).otherwise(""), "string"
-        if name in ("id", "key", "current", "document", "lang", "generate-id"):
+        if name in ("id", "current", "document", "lang", "generate-id"):
             raise Unsupported(f"{name}()")
         if name in ("string", "number", "string-length", "normalize-space") and not args:
             args = (Path(None, (Step("self", Test("node")),)),)

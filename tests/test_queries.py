@@ -9,7 +9,7 @@ from tests.conftest import DATA
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.mark.parametrize("name", ["q_pos_n", "q_pos_last", "q_sum", "q_ancestor", "q_union", "q_string_value", "q_nodetests", "q_distinct_idiom", "q_sort_multi", "q_copy"])
+@pytest.mark.parametrize("name", ["q_pos_n", "q_pos_last", "q_sum", "q_ancestor", "q_union", "q_string_value", "q_nodetests", "q_distinct_idiom", "q_sort_multi", "q_copy", "q_recursive_call", "q_error_rows", "q_output_decl", "q_xpath_eval", "q_ns_name", "q_parse_keep", "q_descendant_or_self"])
 def test_twin(spark, name):
     c = duckdb.connect()
     for t in TABLES:
