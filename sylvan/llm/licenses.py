@@ -74,8 +74,9 @@ def fuzzy(line: bytes, blank: np.ndarray, notices: tuple) -> list[tuple[str, int
     """Matches in blank-joined words with a blank at both ends, whose places are given: label, first word, words, errors, similarity. Windows of equal bytes are verified once."""
     found: dict[tuple, tuple] = {}
     for label, size, errors, pieces, pattern, known in compiled(notices):
-        starts = np.unique(np.concatenate([np.array(places(line, seed), np.int64) - offset for offset, seed in pieces]))
-        hits = []
+        if not (seen := [at - offset for offset, seed in pieces for at in places(line, seed)]):
+            continue
+        starts, hits = np.unique(seen), []
         for begin, end in zip(np.maximum(0, starts - errors - 1).tolist(), (starts + size + errors + 1).tolist()):
             window = line[begin:end]
             if window not in known:
