@@ -153,6 +153,76 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(60, 65))
 
 
+
+def brute_links(x, ids, cos=0.95):
+    """Links and smallest reachable id of each row of x."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= cos
+    label = np.array(ids)
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(x))])
+        if (new == label).all():
+            return near.sum(1) - 1, label
+        label = new
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_of_many_blocks_move_a_fixed_number_of_times(spark, monkeypatch, kind):
+    """Clusters, a dense group, copies and scaled copies over about a hundred blocks: brute force's links, and a shuffle in proportion to the vectors."""
+    monkeypatch.setattr(covertree, "BLOCK", 32)
+    monkeypatch.setattr(covertree, "PIVOTS", 20)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3200, 64))
+    x[:400] = x[0] + rng.normal(size=(400, 64)) * 0.1
+    x[400:700] = x[700:1000] + rng.normal(size=(300, 64)) * rng.uniform(0.1, 0.4, size=(300, 1))
+    x[1000:1200], x[1200:1300] = x[2000], x[1300:1400] * 4
+    x = x.astype(np.float32)[rng.permutation(len(x))].astype(np.float64)
+    ids = rng.permutation(10 * len(x))[: len(x)].tolist()
+    vectors = spark.createDataFrame(list(zip(ids, x.tolist())), f"vec_id long, embedding array<{kind}>").repartition(7).cache()
+    assert vectors.count() == len(x)
+
+    def moved():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = moved()
+    got = {r.vec_id: r for r in covertree.near_vectors(vectors).collect()}
+    n, label = brute_links(x, ids)
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in ids] == [(a, b, i == b) for i, a, b in zip(ids, n.tolist(), label.tolist())]
+    assert moved() - before < 4 * x.nbytes
+
+
+def test_vectors_in_ranges_of_shelves(spark, monkeypatch):
+    """Tiles of several shelves of several blocks, for two lengths of vectors; ids in two rows."""
+    for name, value in (("BLOCK", 8), ("PIVOTS", 12), ("SHELF", 2)):
+        monkeypatch.setattr(covertree, name, value)
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(900, 5)), rng.normal(size=(60, 20))
+    y[30:] = y[:30] * 3 + rng.normal(size=(30, 20)) * 0.3
+    for cos in (0.95, 0.6):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)]
+        got = {r.vec_id: r for r in covertree.near_vectors(spark.createDataFrame([*rows, (5000, [0.0] * 5), (5001, [1.0] * 5), (5001, [1.0] * 20)], "vec_id long, embedding array<double>"), cos).collect()}
+        n, label = brute_links(np.r_[x, np.ones((1, 5))], [*range(900), 5001], cos)
+        m, other = brute_links(np.r_[y, np.ones((1, 20))], [*range(1000, 1060), 5001], cos)
+        assert [got[i].n_links for i in range(900)] == n[:900].tolist() and [got[1000 + i].n_links for i in range(60)] == m[:60].tolist()
+        assert got[5001].n_links == n[900] + m[60]  # one id, a vector of either length
+        if not m[60]:
+            assert [got[i].component_id for i in range(900)] == label[:900].tolist() and [got[1000 + i].component_id for i in range(60)] == other[:60].tolist()
+        assert got[5000].n_links == 0 and got[5000].kept
+
+
+def test_vector_tiles_hold_each_pair_of_shelves_once():
+    pivots = {3: np.ones((7, 3)), 9: np.ones((1, 9))}
+    layout = covertree.Layout(pivots, {(3, c): 2048 * 150 * c + 1 for c in range(7)})
+    seen = Counter()
+    for t in range(layout.tile0[-1]):
+        _, left, right = layout.tile(t)
+        seen.update((a, b) for a in left for b in right if a <= b)
+    shelves = [range(layout.shelf0[s], layout.shelf0[s] + layout.shelves[s]) for s in (3, 9)]
+    assert layout.side[3] > 1 and seen == Counter((a, b) for own in shelves for a in own for b in own if a <= b)
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
