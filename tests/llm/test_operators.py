@@ -195,7 +195,7 @@ def test_vectors_of_many_blocks_move_a_fixed_number_of_times(spark, monkeypatch,
 
 def test_vectors_in_ranges_of_shelves(spark, monkeypatch):
     """Tiles of several shelves of several blocks, for two lengths of vectors; ids in two rows."""
-    for name, value in (("BLOCK", 8), ("PIVOTS", 12), ("SHELF", 2)):
+    for name, value in (("BLOCK", 4), ("PIVOTS", 12), ("SHELF", 2)):
         monkeypatch.setattr(covertree, name, value)
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=(900, 5)), rng.normal(size=(60, 20))
