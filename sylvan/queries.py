@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.plans import lift
@@ -16,6 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def hundredths(c: Column) -> Column:
+    """A number to two places as SQL's round() has it: the hundredfold, as a double, to a whole number, halves away from zero. Spark's rounds the number's decimal text, in which 0.575 is a half."""
+    hundred = F.abs(c) * 100
+    return F.when(hundred == float("inf"), c).otherwise(F.signum(c) * F.round(hundred) / 100)
+
+
 def add(name: str, run, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: run(tuned(spark), sf_dir)
     if sql:
@@ -29,7 +35,7 @@ def nodes(name: str, tree, expr: str, sql: str, **more) -> None:
 
 def value(name: str, tree, expr: str, sql: str | None, kind: str = "double", **more) -> None:
     """A value per document as (doc_id, value)."""
-    shown = (lambda c: F.round(c, 2)) if kind == "double" else lambda c: c
+    shown = hundredths if kind == "double" else lambda c: c
     add(name, lambda s, d: lift.evaluate(tree(s, d), expr, **more).select("doc_id", shown(F.col("value").cast(kind)).alias("value")), sql)
 
 
@@ -40,7 +46,7 @@ def per_node(name: str, tree, path: str, expr: str, sql: str, kind: str = "strin
         forest = tree(spark, sf_dir)
         found = lift.select(forest, path, carry=expr).withColumn("iter", F.struct("doc_id", "pre")).drop("string_value")
         out = lift.evaluate(forest, expr, context=found)
-        shown = F.round(F.col("value").cast("double"), 2) if kind == "double" else F.col("value").cast(kind)
+        shown = hundredths(F.col("value").cast("double")) if kind == "double" else F.col("value").cast(kind)
         return out.select("doc_id", F.col("iter.pre").cast("long").alias("pre"), shown.alias("value"))
 
     add(name, run, sql)
